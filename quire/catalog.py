@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from quire.plans import fixture_queries, stream_queries, table_queries, text_queries  # noqa: F401  they register themselves
+from quire.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
