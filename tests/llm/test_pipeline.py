@@ -1,0 +1,19 @@
+import corpus_pipeline
+
+from quire.llm import langid, packing, quality, simhash
+from quire.llm.common import table
+
+DIR = "/root/testdata/sf0.001"
+
+
+def test_pipeline_matches_its_operators(spark):
+    """Stage by stage: decisions by the operators' own results, each on what its predecessor kept."""
+    docs = table(spark, DIR, "documents")
+    kept = {r.doc_id for r in quality.query(spark, docs).where("kept").collect()}
+    left = docs.where(docs.doc_id.isin(list(kept)))
+    known = {r.doc_id for r in langid.query(spark, left).where(f"lang_pred <> 'und' and score >= {langid.KEEP_SCORE}").collect()}
+    left = left.where(left.doc_id.isin(list(known)))
+    first = {r.component_id for r in simhash.query(spark, left).collect()}
+    got = corpus_pipeline.run(spark, DIR).collect()
+    assert {r.doc_id for r in got} == first
+    assert len(corpus_pipeline.STAGES) == 4 and sum(r.piece == 0 for r in got) == len(first)
