@@ -229,7 +229,7 @@ def test_language_held_out(spark, docs):
 
 
 def test_toxicity_held_out(spark):
-    docs, labels = (table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
+    docs, labels = (table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
     toxic = {r.doc_id: r.toxic for r in labels.collect()}
     rows = [r for r in toxicity.query_labels(spark, docs, labels).collect() if r.held_out and r.doc_id in toxic]
     clean = [r.score for r in rows if not toxic[r.doc_id]]
