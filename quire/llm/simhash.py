@@ -243,7 +243,8 @@ def near_duplicates(docs: DataFrame, zone_rows: int = ZONE_ROWS) -> DataFrame:
     linked = tops.join(words.withColumnRenamed("fp", "node"), "node")
     firsts = linked.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     named = tops.join(firsts, "root").select(F.col("node").alias("fp"), "component_id")
-    final = words.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id"))
+    # written, so that the last join stands alone and the rows of a fingerprint with many copies can be split
+    final = stage(words.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id")), "components")
     return prints.join(final, "fp").select("doc_id", "fp", "component_id")
 
 
