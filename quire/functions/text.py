@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # High-frequency Gujarati function words that the index leaves out.
 STOPWORDS = (
@@ -112,9 +112,25 @@ def normalize(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def nfc_each(texts: pd.Series) -> pd.Series:
+    """Canonical composition of each text of an array; a Python function cannot stand in a lambda."""
+    return texts.map(lambda own: [t if t is None or t.isascii() else unicodedata.normalize("NFC", t) for t in own])
+
+
 def match_form(c: Column) -> Column:
     """The form in which a quote and its source are compared."""
-    c = F.translate(normalize(c), "“”‘’\"«»", "'" * 7)
+    return _match_form(normalize(c))
+
+
+def match_forms(c: Column) -> Column:
+    """match_form of each text of an array."""
+    plain = nfc_each(F.transform(c, lambda t: F.regexp_replace(t, "[\u200c\u200d]", "")))
+    return F.transform(plain, lambda t: _match_form(F.trim(F.regexp_replace(t, r"(?U)\s+", " "))))
+
+
+def _match_form(c: Column) -> Column:
+    c = F.translate(c, "“”‘’\"«»", "'" * 7)
     c = F.regexp_replace(c, "([A-Za-z])-\\s+([a-z])", "$1$2")
     return F.regexp_replace(c, "^[ .,;:!?।|\\-–—']+|[ .,;:!?।|\\-–—']+$", "")
 

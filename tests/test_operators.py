@@ -63,3 +63,47 @@ def test_scan_pages(spark, tmp_path):
     assert sorted((r.page, r.text) for r in pages.collect()) == [(1, "one"), (2, "two")]
     (tmp_path / "c.json").write_text('{"cases": [{"question": "q", "doc_id": ""}]}')
     assert read_cases(spark, str(tmp_path / "c.json")).count() == 1
+
+
+def test_contents_fill_in_order():
+    from quire.operators.chapters import complete
+
+    done = complete({10: ("A", True), 20: ("author", False)}, [(20, "Named"), (10, "other"), (15, "New"), (16, "near the new"), (9, "near")])
+    assert done == {10: ("A", True), 20: ("Named", True), 15: ("New", True)}
+
+
+def test_no_chapters_from_blank_or_missing_pages(spark):
+    from quire.operators.chapters import detect_chapters
+
+    pages = spark.createDataFrame([(1, 1, None), (1, 2, ""), (1, 3, " \n ")], "book int, page int, text string")
+    assert detect_chapters(pages).count() == 0
+    assert detect_chapters(pages.limit(0)).count() == 0
+
+
+def test_headings_on_every_page_are_noise(spark):
+    from quire.operators.chapters import detect_chapters
+
+    pages = spark.createDataFrame([(1, n, f"Chapter {n} Words\ntext") for n in range(1, 10)], "book int, page int, text string")
+    assert detect_chapters(pages).count() == 0
+
+
+def test_claims_without_passages_and_empty_answers(spark):
+    from quire.operators.claims import extract_claims, page_problems, snap_citations
+
+    answers = spark.createDataFrame([(1, "A line (page 9)"), (2, None), (3, ""), (4, "No citation")], "answer int, text string")
+    passages = spark.createDataFrame([(1, "b:1", "b", "other", 1, 2), (4, "b:2", "b", None, 1, 2)], "answer int, passage string, book string, text string, page_start int, page_end int")
+    pages = spark.createDataFrame([], "book string, page int, text string")
+    assert sorted((r.answer, r.passages, r.verbatim, r.novel) for r in extract_claims(answers, passages).collect()) == [(1, [], False, []), (4, [], False, [])]
+    assert page_problems(answers, passages, pages).count() == snap_citations(answers, passages, pages).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text("ab \n", max_size=30), st.lists(st.text("ab ", min_size=1, max_size=6), max_size=3))
+def test_spans_are_apart_and_hold_needles(words, needles):
+    from quire.functions.answers import spans_of
+
+    spans = spans_of(words, needles)
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    squeezed = [" ".join(n.split()) for n in needles if len(" ".join(n.split())) >= 4]
+    assert all(any(n in " ".join(words[a:b].split()) for n in squeezed) for a, b in spans)
+    assert bool(spans) == any(n in " ".join(words.split()) for n in squeezed)
