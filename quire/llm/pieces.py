@@ -5,8 +5,10 @@ the substrings are matched with the piece table, the edges are grouped by word,
 Viterbi is the word's encoding. A character without an edge of its own falls back to its byte pieces. Of equal
 scores the shorter last piece stays. Decoding joins the pieces, so every text comes back exactly.
 
-Style: the relational plan (explode, equi-join, group, higher-order fold) shuffles each word of the corpus at
-least once with its place in the text, which is several times the input. The same relations therefore run inside
+Style: the relational plan (explode, equi-join, group, higher-order fold) shuffles each word of the corpus with its
+place in the text. Measured on 0.10 GB of Parquet (0.17 GB of text, 1,763,537 distinct words): the fold over distinct
+words alone took 56 MB of shuffle, 227 MB of spill and 508 task seconds, the join back 1,268 MB and 191 seconds, in all
+15 times the input. The same relations therefore run inside
 Arrow batches: substrings of the batch's distinct words as arrays, an equi-join by hashed lookup that compares
 whole strings by 128 bits, edges grouped by word and end, and one Viterbi step per position over all words.
 `lattice` is the relational form, for tables of words.
