@@ -44,8 +44,10 @@ def pack_windows(units: DataFrame, size: int = 400, overlap: int = 50) -> DataFr
     return units.groupBy("book", "chapter").applyInPandas(run, f"book {kind}, chapter int, window int, pos long")
 
 
-def budget_batches(rows: DataFrame, budget: int) -> DataFrame:
-    """rows(book, pos, weight) to (book, pos, batch): a batch closes before the row that would exceed the budget."""
+def budget_batches(rows: DataFrame, budget: int, by: tuple[str, ...] = ("book",)) -> DataFrame:
+    """rows(*by, pos, weight) to (*by, pos, batch): a batch closes before the row that would exceed the budget."""
+    keep = [*by, "pos"]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         batch, used, out = 0, 0, []
@@ -54,10 +56,10 @@ def budget_batches(rows: DataFrame, budget: int) -> DataFrame:
                 batch, used = batch + 1, 0
             used += weight
             out.append(batch)
-        return pdf.assign(batch=out)[["book", "pos", "batch"]]
+        return pdf.assign(batch=out)[[*keep, "batch"]]
 
-    kinds = {n: rows.schema[n].dataType.simpleString() for n in ("book", "pos")}
-    return rows.groupBy("book").applyInPandas(run, f"book {kinds['book']}, pos {kinds['pos']}, batch int")
+    kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in keep)
+    return rows.groupBy(*by).applyInPandas(run, f"{kinds}, batch int")
 
 
 def admit(hits: list[float], limit: int, span: float) -> list[tuple[bool, int]]:

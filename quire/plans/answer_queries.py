@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import answers as show
 from quire.functions.text import tokens
-from quire.operators import chapters, claims
+from quire.operators import chapters, claims, summaries
 from quire.plans.fixture_queries import rows
 from quire.plans.registry import query, values
 
@@ -159,3 +159,33 @@ def highlight_segments(spark, d):
     found = rows(spark, SOUGHT, "line, needles, spans, marked").select("line", show.find_spans("line", F.split("needles", "\\|")).alias("s"))
     pieces = show.highlight_segments(F.col("line"), F.col("s"))
     return found.select("line", F.array_join(F.transform(pieces, lambda p: F.when(p["marked"], F.concat(F.lit("["), p["text"], F.lit("]"))).otherwise(p["text"])), "").alias("marked"))
+
+
+PIECES = [
+    (1, 0, -1, 1, 5, "front"), (1, 1, 0, 2, 60, "aa"), (1, 2, 0, 3, 60, "bb"), (1, 3, 1, 4, 10, "cc"), (1, 4, 2, 5, 10, "dd"),
+    (2, 0, -1, 1, 90, "ee"), (2, 1, -1, 2, 90, "ff"), (2, 2, -1, 3, 90, "gg"), (3, 0, -1, 1, 4, "  "),
+]
+NAMED = [(1, 0, "First", 2, 3), (1, 1, "Second", 4, 4), (1, 2, "Third", 5, 5), (1, 3, "Bare", 6, 6)]
+KEPT = [(1, 1, "kept")]
+TOLD = [
+    (1, 0, "First", 2, 3, "reduce First: map First: aa + map First: bb", False), (1, 1, "Second", 4, 4, "kept", True), (1, 2, "Third", 5, 5, "map Third: dd", False),
+    (2, 0, "Section 1 (pages 1-2)", 1, 2, "reduce Section 1 (pages 1-2): map Section 1 (pages 1-2): ee + map Section 1 (pages 1-2): ff", False), (2, 1, "Section 2 (pages 3-3)", 3, 3, "map Section 2 (pages 3-3): gg", False),
+    (3, 0, "Section 1 (pages 1-1)", 1, 1, "", False),
+]
+
+
+def echo(kind: str, label: str, parts: list[str]) -> str:
+    """A stand-in for a model that shows what it was given."""
+    return f"{kind} {label}: {' + '.join(parts)}"
+
+
+@query("summarise_chapters", "SELECT book, chapter, title, summary, cached FROM " + values(TOLD, "book, chapter, title, first, last, summary, cached"))
+def summarise_chapters(spark, d):
+    made = summaries.summarise_chapters(rows(spark, PIECES, "book, pos, chapter, page_start, tokens, text"), rows(spark, NAMED, "book, chapter, title, start, end"), rows(spark, KEPT, "book, chapter, summary"), echo, 100)
+    return made.select("book", "chapter", "title", "summary", "cached")
+
+
+@query("summarise_books", "SELECT book, summary, built_from FROM " + values([(1, "book Acts: one + two", 2), (2, "alone", 1)], "book, summary, built_from"))
+def summarise_books(spark, d):
+    told = rows(spark, [(1, 1, "two"), (1, 0, "one"), (2, 0, "alone"), (2, 1, ""), (3, 0, "")], "book, chapter, summary")
+    return summaries.summarise_books(told, rows(spark, [(1, "Acts")], "book, title"), echo)
