@@ -298,3 +298,13 @@ def test_odd_tables(spark, odd, labels, empty):
     assert packing.query(spark, d).where("piece = 0").count() == n
     for f in (quality.keep_good, langid.keep_known, simhash.keep_first):
         assert f(d).columns == d.columns
+
+
+def test_keep_first_keeps_one_row_a_group(spark):
+    """Also where doc_ids repeat or are missing, and with columns named like the stage's own."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, a, 1, 1), (2, a, 1, 2), (2, a, 1, 2), (2, b, 2, 3), (None, b, 2, 4), (None, c, 3, 5), (None, c, 3, 5), (9, None, 4, 6), (8, "", 4, 7)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, fp int, number int")
+    got = sorted(r.number for r in simhash.keep_first(d).collect())
+    assert got == [2, 3, 5, 7]
+    assert simhash.keep_first(d.limit(0)).collect() == []
