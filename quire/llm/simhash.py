@@ -270,5 +270,5 @@ def keep_first(docs: DataFrame) -> DataFrame:
     words = stage(prints.groupBy("fp").agg(F.min(least).alias("first")), "words")
     tops = components(links(words.select("fp"))).select(F.col("node").alias("fp"), "root")
     groups = words.join(tops, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    kept = broadcast_if_small(stage(groups.select("first.number"), "kept"))
-    return prints.join(kept, "number", "left_semi").select("row.*")
+    kept = stage(groups.select("first.number"), "kept")  # one number a group: as many as texts that stay, so joined by shuffle at any size
+    return prints.join(kept.hint("shuffle_hash"), "number", "left_semi").select("row.*")
