@@ -35,7 +35,8 @@ SHARE = 0.2
 UNKNOWN = "und"
 #: Least score at which the pipeline keeps a document.
 KEEP_SCORE = 0.1
-BLOCK_BYTES = 2_000_000
+#: Text looked up at a time: the arrays of a block take about 60 bytes a byte.
+BLOCK_BYTES = 500_000
 
 _LETTERS = string.ascii_letters.encode()
 _FOLD = bytes(c if c >= 128 else (c | 32 if c in _LETTERS else 32) for c in range(256))
