@@ -3,8 +3,8 @@
 Law: bytes. Groups of at least 1/(shards * GRAIN) of all bytes are packed one by one - there are shards * GRAIN
 of them at most. The rest hash into shards * GRAIN parcels, each of which is packed like a group. So the driver
 packs at most twice that many items whatever the corpus holds, and shards come out within about 1/GRAIN of each
-other unless a single group is larger than a shard's share; such a group stays whole and has its own shard.
-The capacity is the least, to 1/GRAIN, at which the items fit.
+other unless a single group is larger than a shard's share; such a group stays whole and has its own shard, and
+the other groups are levelled over the other shards. Their capacity is the least, to 1/GRAIN, at which they fit.
 
 Equality of texts is that of their SHA-256. Defined results: a null text has size 16 and crc32 0 and groups
 with empty texts. Repeated rows each take a slot. An empty table gives no rows; extra columns are not read.
@@ -39,13 +39,19 @@ def best_fit(sizes: list[tuple[int, int]], capacity: int, shards: int) -> dict[i
 
 
 def assign(sizes: list[tuple[int, int]], shards: int) -> dict[int, int]:
-    """The placing with the least capacity found by bisection."""
+    """Items larger than the mean share of what is left get a shard each; the rest goes to the other shards with the least capacity found by bisection."""
     items = sorted(sizes, key=lambda x: (-x[0], x[1]))
     if not items:
         return {}
-    total = sum(s for s, _ in items)
-    low = max(-(-total // shards), items[0][0])
-    high = low
+    total, own = sum(s for s, _ in items), {}
+    while items[len(own)][0] * (shards - len(own)) > total:
+        size, key = items[len(own)]
+        own[key] = shards - 1 - len(own)
+        total -= size
+        if len(own) == len(items):
+            return own
+    items, shards = items[len(own) :], shards - len(own)
+    low = high = -(-total // shards)
     while (placed := best_fit(items, high, shards)) is None:
         low, high = high + 1, high + max(1, high // 64)
     while high - low > max(0, total // shards // (4 * GRAIN)):
@@ -54,7 +60,7 @@ def assign(sizes: list[tuple[int, int]], shards: int) -> dict[int, int]:
             low = middle + 1
         else:
             high, placed = middle, found
-    return placed
+    return own | placed
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, grain: int = GRAIN) -> DataFrame:

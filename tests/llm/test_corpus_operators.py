@@ -193,6 +193,18 @@ def test_best_fit_fits(sizes):
     assert set(placed) == set(range(len(sizes))) and max(loads) <= sum(sizes) / 7 + max(sizes)
 
 
+@pytest.mark.parametrize("hot", [[0.03], [0.1], [1 / 3], [0.3, 0.2, 0.04]])
+def test_a_hot_group_leaves_the_other_shards_level(hot):
+    small = [int(n) for n in np.random.default_rng(5).integers(500, 1500, 20_000)]
+    sizes = small + [int(h * sum(small) / (1 - sum(hot))) for h in hot]
+    placed = sharding.assign(list(zip(sizes, range(len(sizes)))), 40)
+    loads = np.bincount([placed[k] for k in range(len(sizes))], weights=sizes, minlength=40)
+    own = {placed[k] for k in range(len(small), len(sizes))}
+    assert len(own) == len(hot) and all(loads[placed[k]] == sizes[k] for k in range(len(small), len(sizes)))
+    rest = [n for j, n in enumerate(loads) if j not in own]
+    assert min(rest) > 0.97 * max(rest)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.binary(max_size=1500), min_size=1, max_size=5))
 def test_media_round_trip(texts):
