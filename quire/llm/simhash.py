@@ -18,7 +18,7 @@ round in DataFrames.
 
 Defined results: null text counts as empty; a text without words has fingerprint 0 and links like any other.
 Repeated rows are returned as often as they come. Null doc_ids take part but never name a component while a
-group has another id. The pipeline stage keeps one row of each group, whichever columns repeat. Only doc_id and text are read, so extra columns cannot clash; an empty table gives none.
+group has another id. The pipeline's stage has its own rule and module, near_copies. Only doc_id and text are read, so extra columns cannot clash; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -252,23 +252,8 @@ def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _row_batches(batches):
-    for batch in batches:
-        values = np.array([fingerprint(t) for t in texts_of(batch.column(2))], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values)], names=["number", "row", "fp"])
-
-
 def keep_first(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: one row of each group stays, that with the smallest doc_id; a row without an id stays only where its group has none.
-
-    Rows are told apart by a number written beside them, not by doc_id, which repeats in some tables: rows of one
-    doc_id and different texts are in groups of their own, and repeats of a row are one group.
-    """
-    rows = docs.select(F.monotonically_increasing_id().alias("number"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("binary").alias("text"))
-    prints = stage(rows.mapInArrow(_row_batches, f"number bigint, row {column_type(rows, 'row')}, fp bigint"), "numbered")
-    least = F.struct(F.col("row.doc_id").isNull().alias("bare"), "row.doc_id", "number")
-    words = stage(prints.groupBy("fp").agg(F.min(least).alias("first")), "words")
-    tops = components(links(words.select("fp"))).select(F.col("node").alias("fp"), "root")
-    groups = words.join(tops, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    kept = stage(groups.select("first.number"), "kept")  # one number a group: as many as texts that stay, so joined by shuffle at any size
-    return prints.join(kept.hint("shuffle_hash"), "number", "left_semi").select("row.*")
+    """Pipeline stage: it has its own rule, see near_copies."""
+    from quire.llm import near_copies
+
+    return near_copies.keep_first(docs)

@@ -11,7 +11,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quire.llm import langid, licenses, media, packing, pieces, quality, sharding, simhash, site_quality, toxicity
+from quire.llm import langid, licenses, media, near_copies, packing, pieces, quality, sharding, simhash, site_quality, toxicity
 from quire.llm.common import table
 
 DIR = "/root/testdata/sf0.001"
@@ -320,3 +320,38 @@ def test_keep_first_keeps_one_row_a_group(spark):
     got = sorted(r.number for r in simhash.keep_first(d).collect())
     assert got == [2, 3, 5, 7]
     assert simhash.keep_first(d.limit(0)).collect() == []
+
+
+def brute_groups(texts: list[str]) -> list[int]:
+    """Components of five-word Jaccard 0.8 or more over all pairs; empty sets are equal."""
+    def grams(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    sets, label = [grams(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if label[i] != label[j] and 5 * len(a & b) >= 4 * len(a | b):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("hot", [True, False])
+def test_near_copies_match_brute_force(spark, docs, monkeypatch, hot):
+    """Also with shared lines in every text, near copies on both sides of 0.8 and shingles that go last."""
+    if hot:
+        monkeypatch.setattr(near_copies, "OFTEN", 2)
+    rng = np.random.default_rng(8)
+    texts = [r.text for r in docs.collect()]
+    for n in (60, 200, 800):
+        for base in range(6):
+            words = ["all rights reserved by the same long line"] * (n // 40) + [f"{base}x{k}" for k in rng.integers(0, 5000, n)]
+            for edits in (0, 1, 2, 3, n // 60, n // 50, n // 45, n // 40, n // 20):
+                copy = list(words)
+                for at in rng.choice(len(copy), edits, replace=False):
+                    copy[at] = f"e{rng.integers(10**9)}"
+                texts.append(" ".join(copy))
+    groups = brute_groups(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.keep_first(rows).collect()) == sorted(set(groups))
