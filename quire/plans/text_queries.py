@@ -69,7 +69,7 @@ def parse_chunk_id(spark, d):
 
 @query("distinct_in_order", r"SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(w), lambda x: list_position(w, x))), lambda p: w[p]), ' ') AS words FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE n_chars < 2000)")
 def distinct_in_order(spark, d):
-    return docs(spark, d).where("n_chars < 2000").select("doc_id", F.array_join(F.array_distinct(F.split("text", " ")), " ").alias("words"))
+    return docs(spark, d).select("doc_id", F.array_join(F.array_distinct(F.split("text", " ")), " ").alias("words"))
 
 
 @query("answer_blocks", r"SELECT doc_id, unnest(range(len(b))) AS n, unnest(b) AS text FROM (SELECT doc_id, list_filter(list_transform(list_filter(list_transform(regexp_split_to_array(text, '\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), lambda x: regexp_replace(regexp_replace(x, '\*\*|__', '', 'g'), '^([-*•]|\d+[.)])\s+', '')), lambda x: x <> '') AS b FROM documents)")
