@@ -9,14 +9,16 @@ from tests.test_queries import DIR, TABLES, plain
 #: By query: what its registered SQL cuts, and what stands there instead.
 CUTS = {
     "distinct_in_order": [(" WHERE n_chars < 2000", "")],
+    "left_join_chapter_summaries": [(" WHERE l.l_orderkey < 2000", "")],
+    "neighbour_join": [(" WHERE h.pos % 10 = 2", "")],
 }
 
 
 @pytest.fixture(scope="module")
 def small(spark, tmp_path_factory):
-    """The smallest tables, with fewer vectors than documents and some benchmark ids divisible by 100."""
+    """The smallest tables, with fewer vectors than documents and some benchmark ids divisible by 100, and order keys beyond 2,000."""
     d, con = tmp_path_factory.mktemp("small"), duckdb.connect()
-    change = {"embeddings": "* FROM t WHERE vec_id < 120 OR vec_id >= 200", "benchmark": "* REPLACE (item_id * 25 AS item_id) FROM t"}
+    change = {"embeddings": "* FROM t WHERE vec_id < 120 OR vec_id >= 200", "benchmark": "* REPLACE (item_id * 25 AS item_id) FROM t", "orders": "* REPLACE (o_orderkey * 3 AS o_orderkey) FROM t", "lineitem": "* REPLACE (l_orderkey * 3 AS l_orderkey) FROM t"}
     for t in TABLES:
         con.sql(f"COPY (WITH t AS (SELECT * FROM read_parquet('{DIR}/{t}.parquet')) SELECT {change.get(t, '* FROM t')}) TO '{d}/{t}.parquet' (FORMAT parquet)")
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{d}/{t}.parquet')")
