@@ -108,7 +108,7 @@ def format_duration(spark, d):
 @query("format_passages", "SELECT source AS book, string_agg('[' || pos || '] page ' || doc_id || ' | chapter: ' || lang || chr(10) || left(text, 50), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos) AS prompt FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos FROM documents) WHERE pos <= 5 GROUP BY source")
 def format_passages(spark, d):
     pos = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    block = F.concat(F.format_string("[%d] page %d | chapter: %s\n", F.col("pos"), F.col("doc_id"), F.col("lang")), F.substring("text", 1, 50))
+    block = F.concat(F.format_string("[%d] page %d | chapter: %s\n", F.col("pos"), F.col("doc_id"), F.col("lang")), F.col("text"))
     top = docs(spark, d).withColumn("pos", pos).where("pos <= 5").groupBy(F.col("source").alias("book")).agg(F.array_sort(F.collect_list(F.struct("pos", block.alias("block")))).alias("b"))
     return top.select("book", F.array_join(F.transform("b", lambda x: x["block"]), "\n\n---\n\n").alias("prompt"))
 
