@@ -158,12 +158,12 @@ def normalize_vectors(spark, d):
     return v.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.element_at("v", 1), 6).alias("first"))
 
 
-QUERY_ROWS = 3
+#: Rows whose id is divisible by this are queries.
+QUERY_STEP = 100
 
 
 def query_vectors(spark, d):
-    """A stated query set: the first vectors of the table."""
-    return table(spark, d, "embeddings").where(F.col("vec_id") < QUERY_ROWS).select(F.col("vec_id").alias("query"), F.col("embedding").alias("asked"))
+    return table(spark, d, "embeddings").where(F.col("vec_id") % QUERY_STEP == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("asked"))
 
 
 def vector_chunks(spark, d):
@@ -175,6 +175,10 @@ def vector_topk(spark, d):
     return rt.vector_topk(vector_chunks(spark, d), query_vectors(spark, d)).withColumn("score", F.round("score", 6))
 
 
+def query_texts(spark, d):
+    return table(spark, d, "benchmark").where(F.col("item_id") % QUERY_STEP == 0).select(F.col("item_id").alias("query"), "text")
+
+
 def text_chunks(spark, d):
     return docs(spark, d).select(F.col("source").alias("book"), F.col("doc_id").alias("chunk"), F.col("doc_id").alias("pos"), "text")
 
@@ -197,8 +201,7 @@ def bm25_corpus_stats(spark, d):
 
 @query("bm25_topk", f"WITH {BM25} SELECT query, book, chunk, round(s, 6) AS score, rank FROM b WHERE rank <= 10")
 def bm25_topk(spark, d):
-    q = table(spark, d, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query"), "text")
-    return rt.bm25_topk(text_chunks(spark, d), q).withColumn("score", F.round("score", 6))
+    return rt.bm25_topk(text_chunks(spark, d), query_texts(spark, d)).withColumn("score", F.round("score", 6))
 
 
 RRF = "sum(1 / (60.0::DOUBLE + rank))"
@@ -224,10 +227,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query, book ORDER BY round(s, 9)
 SELECT query, book, chunk, round(s, 6) AS score, rank, bm25_rank, vector_rank FROM r WHERE rank <= 5""")
 def hybrid_search(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk"), F.col("embedding").alias("vector"))
-    c = text_chunks(spark, d).join(v, "chunk")
-    q = table(spark, d, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query"), "text")
-    asked = table(spark, d, "embeddings").where("vec_id < 5").select(F.col("vec_id").alias("query"), F.col("embedding").alias("asked"))
-    return rt.hybrid_search(c, q.join(asked, "query"), script=None).withColumn("score", F.round("score", 6))
+    c = text_chunks(spark, d).join(v, "chunk", "left")
+    q = query_texts(spark, d).join(query_vectors(spark, d), "query", "full")
+    return rt.hybrid_search(c, q, script=None).withColumn("score", F.round("score", 6))
 
 
 @query("widen_passages", "WITH c AS (SELECT conv_id AS book, turn AS pos, turn + 1 AS page, text FROM conversations), h AS (SELECT book, pos, row_number() OVER (PARTITION BY book ORDER BY length(text) DESC, pos) AS rank FROM c), n AS (SELECT h.book, c.pos, min(c.page) AS page, min(rank) FILTER (c.pos = h.pos) AS rank FROM h JOIN c ON c.book = h.book AND abs(c.pos - h.pos) <= 1 WHERE rank <= 2 GROUP BY 1, 2), r AS (SELECT *, pos - row_number() OVER (PARTITION BY book ORDER BY pos) AS run FROM n) SELECT book, book || ':' || min(pos) || '-' || max(pos) AS chunk, min(page) AS page_start, max(page) AS page_end, min(rank) AS rank FROM r GROUP BY book, run")

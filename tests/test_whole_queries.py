@@ -8,10 +8,13 @@ from tests.test_queries import DIR, TABLES, plain
 
 #: By query: what its registered SQL cuts, and what stands there instead.
 CUTS = {
+    "bm25_topk": [("item_id < 5", "item_id % 100 = 0")],
     "distinct_in_order": [(" WHERE n_chars < 2000", "")],
     "format_passages": [("left(text, 50)", "text")],
+    "hybrid_search": [(" FROM documents JOIN embeddings ON vec_id = doc_id)", " FROM documents)"), ("item_id < 5", "item_id % 100 = 0"), ("vec_id < 5", "vec_id % 100 = 0")],
     "left_join_chapter_summaries": [(" WHERE l.l_orderkey < 2000", "")],
     "neighbour_join": [(" WHERE h.pos % 10 = 2", "")],
+    "vector_topk": [("vec_id < 3", "vec_id % 100 = 0")],
 }
 
 
