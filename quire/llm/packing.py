@@ -9,13 +9,16 @@ The ids are those of the `tokenizers` file; the tests hold them equal on whole t
 vocabulary's rank file, word by word with a cache: a single space before a character that is no white space
 always begins a new pre-token, so a text may be cut there.
 
-Defined results: null or empty text is the single id END. Special-token strings in a text are ordinary text.
+Defined results: null or empty text is the single id END. The file's added tokens in a text become their ids, as the
+`tokenizers` library does by default.
 Repeated rows are packed as often as they come. An empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import os
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -38,18 +41,25 @@ _CUT = re.compile(r"(?= [^\s])")
 class Encoder:
     """Text to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, added: tuple[tuple[str, int], ...] = ()):
         import tiktoken
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self._encode = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._known: dict[str, bytes] = {}
+        self._added = {token: np.array([at], "<u4").tobytes() for token, at in added}
+        self._split = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")") if added else None
 
     def _ids(self, text: str) -> bytes:
         return np.array(self._encode(text), "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
+        if self._split is None or not self._split.search(text):
+            return self._ordinary(text)
+        return b"".join(self._added.get(part) or self._ordinary(part) for part in self._split.split(text) if part)
+
+    def _ordinary(self, text: str) -> bytes:
         known = self._known
         if len(known) > CACHE:
             known.clear()
@@ -68,9 +78,18 @@ class Encoder:
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
+def added_tokens(ranks_path: str) -> tuple[tuple[str, int], ...]:
+    """(token, id) of the added tokens in the tokenizer file beside the rank file, if there is one."""
+    beside = os.path.splitext(ranks_path)[0] + ".json"
+    if not os.path.exists(beside):
+        return ()
+    with open(beside, encoding="utf-8") as f:
+        return tuple((t["content"], t["id"]) for t in json.load(f).get("added_tokens", []))
+
+
 def encoder(ranks_path: str, pattern: str) -> Encoder:
     if (ranks_path, pattern) not in _ENCODERS:
-        _ENCODERS[ranks_path, pattern] = Encoder(ranks_path, pattern)
+        _ENCODERS[ranks_path, pattern] = Encoder(ranks_path, pattern, added_tokens(ranks_path))
     return _ENCODERS[ranks_path, pattern]
 
 

@@ -156,6 +156,15 @@ def test_encoder_cuts_only_at_token_bounds(t):
     assert enc.encode(t) == np.array(enc._encode(t), "<u4").tobytes()
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|>", "a <|endoftext|> b", " x<|endoftext|><|endoftext|>\n\n y", "<|endoftext", "two  <|endoftext|>  more"])
+def test_added_tokens_are_the_tokenizers_own(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.encoder(*packing.vocabulary()).encode(text) == np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 30), max_size=12))
 def test_plan_places_each_item_once(counts):
