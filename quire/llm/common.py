@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
+import tempfile
 import uuid
 
 import pyarrow as pa
@@ -17,12 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, which every executor can read; set here only where it is unset."""
+    """A fresh folder under spark.checkpoint.dir, which every executor can read; only a local master does without that setting. It goes when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"{tempfile.gettempdir()}/checkpoints"
+    made = f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}"
+    atexit.register(_discard, spark, made)
+    return made
+
+
+def _discard(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

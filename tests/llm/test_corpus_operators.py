@@ -64,6 +64,9 @@ def test_simhash_matches_brute_force(spark, docs):
     for r, g in zip(rows, groups):
         first[g] = min(first.get(g, r.doc_id), r.doc_id)
     want = {r.doc_id: (f"{p:016x}", first[g]) for r, p, g in zip(rows, prints, groups)}
+    for shard_words in (simhash.SHARD_WORDS, 20):  # one shard, and many that a routing tree deals
+        got = simhash.near_duplicates(docs, shard_words).collect()
+        assert {r.doc_id: (f"{r.fp % (1 << 64):016x}", r.component_id) for r in got} == want
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.query(spark, docs).collect()} == want
 
 
@@ -83,17 +86,45 @@ def test_vantage_tree_links_what_brute_force_links(seeds, salt):
     assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
 
 
-def test_hot_zones_lose_no_link(spark):
-    rng = np.random.default_rng(3)
-    base = 0x1234
-    words = sorted({base | sum(1 << int(b) for b in 16 + rng.choice(48, rng.integers(0, 9), replace=False)) for _ in range(400)})
-    df = spark.createDataFrame([(w - (1 << 64) if w >> 63 else w,) for w in words], "fp long")
-    edges = simhash.links(df, zone_rows=40).collect()
+def united(words: list[int], edges) -> list[int]:
     union, place = simhash._Union(len(words)), {w: i for i, w in enumerate(words)}
     for e in edges:
-        union.unite(place[e.a % (1 << 64)], place[e.b % (1 << 64)])
-    want = brute_components(words)
-    assert len({(union.find(i), w) for i, w in enumerate(want)}) == len(set(want)) == len({union.find(i) for i in range(len(words))})
+        union.unite(place[e[0] % (1 << 64)], place[e[1] % (1 << 64)])
+    return [union.find(i) for i in range(len(words))]
+
+
+def crowd(rng, n: int, spread: int) -> list[int]:
+    """Words in a narrow ball and words anywhere, some of them near each other."""
+    ball = [0x1234 ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, spread), replace=False)) for _ in range(n)]
+    far = [int(w) for w in rng.integers(0, 2**64, n // 2, dtype=np.uint64)]
+    return sorted({*ball, *far, *(w ^ 5 for w in far[::3]), *(w ^ (1 << 63) for w in far[::7])})
+
+
+@pytest.mark.parametrize("spread", [2, 9, 30])
+def test_many_shards_lose_no_link(spark, spread):
+    words = crowd(np.random.default_rng(3), 500, spread)
+    df = spark.createDataFrame([(w - (1 << 64) if w >> 63 else w,) for w in words], "fp long").repartition(3)
+    tree = simhash.router(df, len(words), shard_words=24)
+    dealt = simhash.shards(df, tree).collect()
+    assert len(tree.nodes) > 0 and tree.shards > 1 and any(r.guest for r in dealt)
+    assert sorted(r.fp for r in dealt if not r.guest) == sorted(r.fp for r in df.collect())
+    got, want = united(words, simhash.links(df, shard_words=24).collect()), brute_components(words)
+    assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
+
+
+def test_guests_come_in_blocks(monkeypatch):
+    """Shards that arrive in several batches, and more guests than are looked up at a time."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(simhash, "GUESTS", 50)
+    words = np.array(crowd(np.random.default_rng(4), 600, 8), np.uint64)
+    tree = simhash.Router(words[::3], 3)
+    rows = sorted((int(k), int(g), int(w)) for k, guest, own in tree.route(words) for g, w in zip(guest, own))
+    kinds = (np.int32, np.int8, np.uint64)
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.array(c, t).view(np.int64) if t is np.uint64 else np.array(c, t)) for c, t in zip(zip(*rows[i : i + 37]), kinds)], names=["shard", "guest", "fp"]) for i in range(0, len(rows), 37)]
+    edges = [e for out in simhash._shard_links(3)(batches) for e in zip(*(c.to_pylist() for c in out.columns))]
+    got, want = united(words.tolist(), edges), brute_components(words.tolist())
+    assert len(set(zip(got, want))) == len(set(got)) == len(set(want)) and len(edges) < len(rows)
 
 
 def test_components_of_a_long_chain(spark):
