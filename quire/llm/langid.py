@@ -65,13 +65,13 @@ def _blocks(texts: list[bytes]):
 def _grams(folded: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All n-grams of the joined block as numbers, and each text's first and end place among them."""
     data = np.frombuffer(b"".join(folded), np.uint8).astype(np.uint32)
-    n = len(data) - GRAM + 1
+    n = max(0, len(data) - GRAM + 1)
     grams = np.zeros(n, np.uint32)
     for k in range(GRAM):
         grams |= data[k : k + n] << np.uint32(8 * k)
     ends = np.cumsum([len(t) for t in folded])
     starts = np.r_[0, ends[:-1]]
-    return grams, starts, np.maximum(ends - GRAM + 1, starts)
+    return grams, np.minimum(starts, n), np.clip(ends - GRAM + 1, np.minimum(starts, n), n)
 
 
 def _places(grams: np.ndarray) -> list[np.ndarray]:
@@ -99,14 +99,14 @@ class Filters:
             grams, starts, ends = _grams(folded)
             places = _places(grams)
             n = np.maximum(ends - starts, 1)
-            edges = np.minimum(np.column_stack([starts, ends]).ravel(), len(grams) - 1)
             for p, plane in enumerate(self.planes):
                 mask = plane[places[0]]
                 for place in places[1:]:
                     mask &= plane[place]
                 for i in range(64 * p, min(64 * p + 64, len(self.languages))):
-                    bits = ((mask >> np.uint64(i % 64)) & np.uint64(1)).astype(np.uint8)
-                    seen = np.add.reduceat(bits, edges, dtype=np.int64)[::2] / n
+                    upto = np.zeros(len(grams) + 1, np.int32)  # n-grams of the language before each place
+                    np.cumsum(((mask >> np.uint64(i % 64)) & np.uint64(1)).astype(np.int32), out=upto[1:])
+                    seen = (upto[ends] - upto[starts]) / n
                     out[first : first + len(folded), i] = np.clip((seen - self.false_rate[i]) / (1 - self.false_rate[i]), 0, 1)
         return out
 
