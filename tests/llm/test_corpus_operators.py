@@ -280,6 +280,39 @@ def test_language_held_out(spark, docs):
     assert sum(lang[r.doc_id] == r.lang_pred for r in held) >= 0.97 * len(held)
 
 
+def brute_shares(filters, text: bytes) -> list[float]:
+    folded = b" " + bytes(c if c >= 128 else (c | 32 if chr(c).isalpha() else 32) for c in text) + b"  "
+    grams = [folded[i : i + 4] for i in range(len(folded) - 3)]
+    out = []
+    for i, rate in enumerate(filters.false_rate):
+        place = lambda g: [int(p[0]) for p in langid._places(np.array([int.from_bytes(g, "little")], np.uint32))]
+        holds = sum(all(int(filters.planes[i // 64][p]) >> (i % 64) & 1 for p in place(g)) for g in grams)
+        out.append(min(1.0, max(0.0, (holds / max(1, len(grams)) - rate) / (1 - rate))))
+    return out
+
+
+def test_language_shares_match_brute_force_wherever_a_text_stands(monkeypatch):
+    texts = [b"", b"", b"a", b"the cat", "é€😀 ▁x".encode(), b"", b"le chat est la", b"   ", b"the cat " * 50, b"x"]
+    grams = {x: np.unique(langid._grams([b" " + t.translate(langid._FOLD) + b"  "])[0]) for x, t in (("en", b"the cat sat"), ("fr", "le chat est là".encode()))}
+    filters = langid.Filters(grams)
+    want = np.array([brute_shares(filters, t) for t in texts])
+    for block in (1, 20, 500_000):
+        monkeypatch.setattr(langid, "BLOCK_BYTES", block)
+        assert np.array_equal(filters.shares(texts), want)
+        assert np.array_equal(filters.shares(texts[::-1]), want[::-1])
+        for i, t in enumerate(texts):
+            assert np.array_equal(filters.shares([t]), want[i : i + 1])
+
+
+@pytest.mark.parametrize("texts", [[None], [""], [None, "", None], ["the cat sat on the mat"], ["12 !"]])
+def test_language_of_few_and_blank_texts(spark, docs, texts):
+    filters = langid.fit(langid.learnable(docs))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(len(texts))
+    got = {r.row.doc_id: (r.lang_pred, r.score) for r in langid.predict(d, filters, ["doc_id"]).collect()}
+    for i, t in enumerate(texts):
+        assert got[i][0] == "en" if any(map(str.isalpha, t or "")) else got[i] == ("und", 0.0)
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
     toxic = {r.doc_id: r.toxic for r in labels.collect()}
@@ -395,3 +428,45 @@ def test_near_copies_match_brute_force(spark, docs, monkeypatch, hot):
     groups = brute_groups(texts)
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert sorted(r.doc_id for r in simhash.keep_first(rows).collect()) == sorted(set(groups))
+
+
+@pytest.mark.parametrize("short", [2, 4, 32])
+def test_lists_lose_no_pair(monkeypatch, short):
+    """Short lists whole, and of long ones all pairs of different roots, in batches that cut lists."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(near_copies, "SHORT", short)
+    monkeypatch.setattr(near_copies, "PAIRS", 40)
+    rng = np.random.default_rng(6)
+    core = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    rows = [(int(s), int(size), int(w), int(place)) for w, (s, size, place) in enumerate(zip(rng.integers(0, 9, 150), rng.integers(40, 60, 150), rng.integers(0, 12, 150)))]
+    sets = {w: np.unique(np.r_[core[: size - int(k)], rng.integers(0, 2**63, int(k), dtype=np.uint64)]) for (_, size, w, _), k in zip(rows, rng.integers(0, 30, 150))}
+    sigs = {w: near_copies.bitmap(s, 64 * near_copies.PARTS) for w, s in sets.items()}
+    root = {w: int(rng.choice([0, 0, 0, 0, 1, w])) for *_, w, _ in rows}
+
+    def run(f, key, rooted):
+        own = sorted(rows, key=key)
+        columns = [pa.array([r[i] for r in own]) for i in (0, 2, 1, 3)] + [pa.array([sigs[r[2]] for r in own], pa.binary())] + ([pa.array([rooted[r[2]] for r in own])] if rooted else [])
+        batches = [pa.RecordBatch.from_arrays([c[i : i + 23] for c in columns], names=list("abcdef")[: len(columns)]) for i in range(0, 150, 23)]
+        return {p for out in f(batches) for p in zip(*(c.to_pylist() for c in out.columns))}
+
+    def fits(x, y):
+        a, b = (np.frombuffer(sigs[r[2]], np.uint64) for r in (x, y))
+        sized = 5 * min(x[1], y[1]) >= 4 * max(x[1], y[1]) and 9 * min(x[1] - x[3], y[1] - y[3]) >= 4 * (x[1] + y[1])
+        return sized and 9 * int(np.bitwise_count(a ^ b).sum()) <= x[1] + y[1]
+
+    size = {s: sum(r[0] == s for r in rows) for s in range(9)}
+    every = {(min(x[2], y[2]), max(x[2], y[2])): (x[0], root[x[2]] != root[y[2]]) for x, y in itertools.combinations(rows, 2) if x[0] == y[0] and fits(x, y)}
+    first, rest = run(near_copies._first_batches, lambda r: (r[0], r[2]), None), run(near_copies._rest_batches, lambda r: r[:2], root)
+    assert {p for p, (s, _) in every.items() if size[s] <= short} <= first and rest == {p for p, (_, apart) in every.items() if apart} and rest
+    assert not run(near_copies._rest_batches, lambda r: r[:2], dict.fromkeys(root, 0))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=200), st.sets(st.integers(0, 2**64 - 1), max_size=40), st.floats(0, 1))
+def test_bitmaps_never_differ_more_than_sets(a, extra, share):
+    b = set(sorted(a)[: int(share * len(a))]) | extra
+    x, y = (np.array(sorted(s), np.uint64) for s in (a, b))
+    p, q = near_copies.bitmap(x), near_copies.bitmap(y)
+    assert near_copies.differ(p, q) <= len(a ^ b)
+    assert near_copies.differ(near_copies.bitmap(x, 256), near_copies.bitmap(y, 256)) <= len(a ^ b)
