@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,9 +27,22 @@ LEGACY_SHARE = 0.3
 
 
 @F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Canonical composition; Spark has no built-in."""
-    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+def _composed(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: t and unicodedata.normalize("NFC", t))
+
+
+#: Characters that compose with nothing and stand as they are: Latin without combining marks, punctuation, joiners, and the Gujarati block without its nukta.
+_SETTLED = "\\x00-\u02ff\u0964\u0965\u0a81-\u0abb\u0abd-\u0aff\u200b-\u200f\u2010-\u203a"
+
+
+def nfc(c: Column) -> Column:
+    """Canonical composition; Spark has no built-in. Only texts with other characters than _SETTLED go to Python."""
+    return F.coalesce(_composed(F.when(c.rlike(f"[^{_SETTLED}]"), c)), c)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value written into the plan once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def latin_digits(c: Column) -> Column:
@@ -87,18 +102,27 @@ def script_share(c: Column) -> Column:
     return F.coalesce(script_letters(c) / F.nullif(script_letters(c) + latin_letters(c), F.lit(0)), F.lit(0.0))
 
 
-def tokens(c: Column, stopwords: list[str] | None = None) -> Column:
-    """Lower-case words of letters, digits and marks; joiners never split a word."""
-    c = nfc(F.regexp_replace(F.coalesce(c, F.lit("")), "[\u200c\u200d]", ""))
+def words_of(c: Column, stopwords: list[str] | None = None) -> Column:
+    """tokens() of a text that is composed and without joiners, as match_form leaves it; no Python, so it may stand in a lambda."""
     words = F.split(F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}\p{M}]+", " ")), " ")
     return F.filter(words, lambda w: (w != "") & ~w.isin(STOPWORDS if stopwords is None else stopwords or [""]))
 
 
+def tokens(c: Column, stopwords: list[str] | None = None) -> Column:
+    """Lower-case words of letters, digits and marks; joiners never split a word."""
+    return words_of(nfc(F.regexp_replace(F.coalesce(c, F.lit("")), "[\u200c\u200d]", "")), stopwords)
+
+
+def token_estimate(own: Column, other: Column) -> Column:
+    """2.4 a Gujarati word, 1.3 another, rounded down, plus 1."""
+    return (own * F.lit(2.4) + other * F.lit(1.3)).cast("int") + 1
+
+
 def estimate_tokens(c: Column) -> Column:
-    """2.4 a Gujarati word, 1.3 another, rounded down, plus 1; nothing for nothing."""
+    """The estimate of a text's words; nothing for nothing."""
     words = F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), lambda w: w != "")
     own = F.size(F.filter(words, lambda w: w.rlike(GUJARATI)))
-    return F.when(F.size(words) == 0, 0).otherwise((own * F.lit(2.4) + (F.size(words) - own) * F.lit(1.3)).cast("int") + 1)
+    return F.when(F.size(words) == 0, 0).otherwise(token_estimate(own, F.size(words) - own))
 
 
 def sentences(c: Column) -> Column:
@@ -159,9 +183,9 @@ def search_key(c: Column) -> Column:
 
 
 def holds_all_words(haystack: Column, words: str) -> Column:
-    """Every word of the query occurs; a blank query matches all."""
+    """Every word of the query, in the form of search_key, occurs; a blank query matches all."""
     out = F.lit(True)
-    for word in words.lower().split():
+    for word in unicodedata.normalize("NFC", re.sub("[\u200c\u200d]", "", words)).lower().split():
         out = out & F.contains(haystack, F.lit(word))
     return out
 

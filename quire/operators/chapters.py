@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.headings import byline_name, contents_line, parse_heading, plausible_title, same_title, usable_title
-from quire.functions.text import to_int
+from quire.functions.text import let, to_int
 from quire.operators.pages import chapter_spans, monotone
+from quire.staging import stage
 
 # The titles of pages that list the headings, and a number alone on its line.
 CONTENTS_TITLE = r"(?i)^(?:અનુક્રમ|અનુક્રમણિકા|વિષયસૂચિ|વિષયાનુક્રમ|સૂચિ|તસવીરોની\s+વિગત|contents?|index|table\s+of\s+contents)$"
@@ -30,18 +31,20 @@ def opener(lines: Column) -> Column:
     An author line near the top counts if the author's first word follows within four lines, or if a usable title
     stands above and no other author line is on the page. Without a usable title the author names the piece.
     """
-    names = F.transform(lines, byline_name)
-    alone = F.size(F.filter(names, lambda n: n.isNotNull())) == 1
+    def found(names):
+        alone = F.size(F.filter(names, lambda n: n.isNotNull())) == 1
 
-    def judged(line, i):
-        title = F.when(i > 0, F.get(lines, i - 1))
-        titled = F.coalesce(usable_title(title), F.lit(False))
-        after = F.array_join(F.slice(lines, i + 2, 4), " ")
-        known = F.contains(after, F.get(F.split(byline_name(line), r"\s+"), F.lit(0)))
-        found = F.struct(F.when(titled, title).otherwise(byline_name(line)).alias("title"), titled.alias("real"))
-        return F.when(byline_name(line).isNotNull() & (known | (titled & alone)), found)
+        def judged(line, i):
+            return let(F.struct(F.get(names, i).alias("name"), F.when(i > 0, F.get(lines, i - 1)).alias("title")), lambda o: titled(o, i))
+
+        def titled(o, i):
+            after = F.array_join(F.slice(lines, i + 2, 4), " ")
+            known = F.contains(after, F.get(F.split(o["name"], r"\s+"), F.lit(0)))
+            return let(F.coalesce(usable_title(o["title"]), F.lit(False)), lambda real: F.when(o["name"].isNotNull() & (known | (real & alone)), F.struct(F.when(real, o["title"]).otherwise(o["name"]).alias("title"), real.alias("real"))))
+
+        return F.get(F.filter(F.transform(F.slice(lines, 1, SCAN_BYLINES), judged), lambda o: o.isNotNull()), F.lit(0))
 
-    return F.get(F.filter(F.transform(F.slice(lines, 1, SCAN_BYLINES), judged), lambda o: o.isNotNull()), F.lit(0))
+    return let(F.transform(lines, byline_name), found)
 
 
 def openers(lined: DataFrame) -> DataFrame:
@@ -92,9 +95,8 @@ def candidates(lines: Column, headers: Column, page: Column) -> Column:
     def judged(line, i):
         number, title = to_int(F.regexp_extract(line, BARE_NUMBER, 1)), F.get(lines, i + 1)
         bare = line.rlike(BARE_NUMBER) & (number != page) & ~F.array_contains(headers, title) & plausible_title(title)
-        parsed = parse_heading(line)
         made = F.struct(F.lit(1).alias("level"), number.alias("number"), F.concat(number, F.lit(". "), title).alias("title"))
-        return F.when(F.array_contains(headers, line), None).when(parsed.isNotNull(), parsed).when(bare, made)
+        return F.when(F.array_contains(headers, line), None).otherwise(F.coalesce(parse_heading(line), F.when(bare, made)))
 
     return F.filter(F.transform(lines, judged), lambda c: c.isNotNull())
 
@@ -104,9 +106,8 @@ def numbered(lined: DataFrame, sizes: DataFrame) -> DataFrame:
     tops = lined.select("book", F.explode(F.array_distinct(F.slice("lines", 1, 3))).alias("line")).groupBy("book", "line").agg(F.count(F.lit(1)).alias("n"))
     headers = tops.join(sizes, "book").where(F.col("n") >= F.greatest(F.lit(3), F.floor(F.col("pages") * 0.2))).groupBy("book").agg(F.collect_list("line").alias("headers"))
     own = lined.join(headers, "book", "left").withColumn("headers", F.coalesce("headers", F.array().cast("array<string>")))
-    own = own.where(F.coalesce(~F.get("lines", F.lit(0)).rlike(CONTENTS_TITLE), F.lit(False)) & (F.size(candidates(F.col("lines"), F.col("headers"), F.col("page"))) < 3))
-    first = F.get(candidates(F.slice("lines", 1, SCAN_HEADINGS), F.col("headers"), F.col("page")), F.lit(0))
-    found = own.select("book", F.col("page").alias("at"), first.alias("h")).where("h is not null").select("book", "at", "h.*")
+    listed = own.where(F.coalesce(~F.get("lines", F.lit(0)).rlike(CONTENTS_TITLE), F.lit(False))).select("book", "page", candidates(F.col("lines"), F.col("headers"), F.col("page")).alias("every"), candidates(F.slice("lines", 1, SCAN_HEADINGS), F.col("headers"), F.col("page")).alias("top"))
+    found = listed.where(F.size("every") < 3).select("book", F.col("page").alias("at"), F.get("top", F.lit(0)).alias("h")).where("h is not null").select("book", "at", "h.*")
     book = Window.partitionBy("book")
     found = monotone(found.withColumn("top", F.min("level").over(book)).where("level = 1 or top > 1"))
     return found.withColumn("n", F.count(F.lit(1)).over(book)).join(sizes, "book").where(F.col("n") <= F.greatest(F.lit(3), F.floor(F.col("pages") / 3))).select("book", F.col("at").alias("start"), "title")
@@ -118,9 +119,9 @@ def detect_chapters(pages: DataFrame) -> DataFrame:
     LEAST_OPENERS openers or more make an anthology; any other book is split by its numbered headings or, without
     those, by the openers it has.
     """
-    lined = page_lines(pages)
+    lined = stage(page_lines(pages), "lines")  # openers, contents and headings each read it
     sizes = lined.groupBy("book").agg(F.count(F.lit(1)).alias("pages"), F.min("page").alias("first_page"), F.max("page").alias("last_page"))
-    found = openers(lined)
+    found = stage(openers(lined), "openers")
     many = found.groupBy("book").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_OPENERS).select("book")
     rich = found.join(many, "book", "left_semi")
     entries = contents_entries(lined)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import latin_digits, legacy_encoded, letter_count, readable_letter_count
@@ -17,10 +17,18 @@ def route_sources(pages: DataFrame, least: int = 60) -> DataFrame:
     return pages.withColumns({"source": source, "text": F.when(ocr, F.col("ocr_text")).otherwise(base)})
 
 
+#: A line that is only a number, as a printed page number is.
+NUMBER = "^[0-9૦-૯]{1,4}$"
+
+
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def lines(pages: DataFrame) -> DataFrame:
     """(book, page, at, line): non-blank lines with their order."""
     split = pages.select("book", "page", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return split.select("book", "page", "at", F.trim("line").alias("line")).where("line <> ''")
+    return split.select("book", "page", "at", stripped(F.col("line")).alias("line")).where("line <> ''")
 
 
 def edge_lines(pages: DataFrame, scan: int = 2) -> DataFrame:
@@ -34,7 +42,7 @@ def edge_lines(pages: DataFrame, scan: int = 2) -> DataFrame:
 def folio_offset(pages: DataFrame) -> DataFrame:
     """(book, delta, hits): the modal page number minus printed number, if on max(3, pages/10) lines or more; ties by first seen."""
     number = latin_digits(F.col("line")).try_cast("int")
-    seen = edge_lines(pages).where(F.col("line").rlike("^[0-9૦-૯]{1,4}$")).select("book", (F.col("page") - number).alias("delta"), "page", "end", "at")
+    seen = edge_lines(pages).where(F.col("line").rlike(NUMBER)).select("book", (F.col("page") - number).alias("delta"), "page", "end", "at")
     votes = seen.groupBy("book", "delta").agg(F.count(F.lit(1)).alias("hits"), F.min(F.struct("page", "end", "at")).alias("first"))
     best = votes.withColumn("n", F.row_number().over(Window.partitionBy("book").orderBy(F.desc("hits"), "first"))).where("n = 1")
     size = pages.groupBy("book").agg(F.count(F.lit(1)).alias("pages"))
@@ -42,22 +50,22 @@ def folio_offset(pages: DataFrame) -> DataFrame:
 
 
 def running_lines(pages: DataFrame, share: float = 0.2) -> DataFrame:
-    """(book, line, on_pages): edge lines that stand on max(3, share of pages) pages or more."""
+    """(book, line, on_pages): edge lines, numbers aside, that stand on max(3, share of pages) pages or more."""
     size = pages.groupBy("book").agg(F.count(F.lit(1)).alias("pages"))
-    seen = edge_lines(pages).select("book", "page", "line").distinct().groupBy("book", "line").agg(F.count(F.lit(1)).alias("on_pages"))
+    seen = edge_lines(pages).where(~F.col("line").rlike(NUMBER)).select("book", "page", "line").distinct().groupBy("book", "line").agg(F.count(F.lit(1)).alias("on_pages"))
     return seen.join(size, "book").where((F.col("pages") >= 5) & (F.col("on_pages") >= F.greatest(F.lit(3), F.floor(F.col("pages") * share)))).select("book", "line", "on_pages")
 
 
-def strip_running_lines(pages: DataFrame, most: int = 2) -> DataFrame:
+def strip_running_lines(pages: DataFrame, most: int = 2, share: float = 0.2) -> DataFrame:
     """Pages without up to `most` running lines, folios or blank lines at either end; books under 5 pages are untouched."""
     size = pages.groupBy("book").agg(F.count(F.lit(1)).alias("pages"))
-    own = running_lines(pages).groupBy("book").agg(F.collect_set("line").alias("running"))
+    own = running_lines(pages, share).groupBy("book").agg(F.collect_set("line").alias("running"))
     known = pages.join(size, "book").join(own, "book", "left").join(folio_offset(pages).select("book", "delta"), "book", "left")
     parts = F.split("text", "\n")
 
     def furniture(x):
-        t = F.trim(x)
-        folio = t.rlike("^[0-9૦-૯]{1,4}$") & (latin_digits(t).try_cast("int") == F.col("page") - F.col("delta"))
+        t = stripped(x)
+        folio = t.rlike(NUMBER) & (latin_digits(t).try_cast("int") == F.col("page") - F.col("delta"))
         return (t == "") | F.coalesce(F.array_contains("running", t), F.lit(False)) | F.coalesce(folio, F.lit(False))
 
     def leading(a):
@@ -67,7 +75,7 @@ def strip_running_lines(pages: DataFrame, most: int = 2) -> DataFrame:
     known = known.withColumn("lines", F.slice("lines", F.col("top") + 1, F.greatest(F.size("lines") - F.col("top"), F.lit(0))))
     known = known.withColumn("bottom", leading(F.reverse("lines")))
     cut = F.array_join(F.slice("lines", 1, F.greatest(F.size("lines") - F.col("bottom"), F.lit(0))), "\n")
-    return known.select("book", "page", F.when(F.col("pages") < 5, F.col("text")).otherwise(F.trim(cut)).alias("text"))
+    return known.select("book", "page", F.when(F.col("pages") < 5, F.col("text")).otherwise(stripped(cut)).alias("text"))
 
 
 def chapter_spans(starts: DataFrame, last_page: DataFrame) -> DataFrame:
@@ -87,3 +95,14 @@ def monotone(headings: DataFrame) -> DataFrame:
     """Numbered headings stay only above all earlier numbers; unnumbered ones stay. headings(book, at, number)."""
     before = Window.partitionBy("book").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     return headings.withColumn("_top", F.coalesce(F.max("number").over(before), F.lit(0))).where(F.col("number").isNull() | (F.col("number") > F.col("_top"))).drop("_top")
+
+
+def extraction_stats(pages: DataFrame) -> DataFrame:
+    """(book, pages, digital, ocr, empty, chars) of pages(book, text, source)."""
+    return pages.groupBy("book").agg(F.count(F.lit(1)).alias("pages"), *[F.count_if(F.col("source") == s).alias(s) for s in ("digital", "ocr", "empty")], F.sum(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
+
+
+def chunking_stats(chunks: DataFrame, books: DataFrame) -> DataFrame:
+    """(book, chunks, mean, least, most) of chunks(book, tokens), zeros for books(book) without any."""
+    own = chunks.groupBy("book").agg(F.count(F.lit(1)).alias("chunks"), F.round(F.avg("tokens"), 1).alias("mean"), F.min("tokens").alias("least"), F.max("tokens").alias("most"))
+    return books.join(own, "book", "left").na.fill(0, ["chunks", "mean", "least", "most"])

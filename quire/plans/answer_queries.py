@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import answers as show
-from quire.functions.text import tokens
+from quire.functions.text import words_of
 from quire.operators import chapters, claims, summaries
 from quire.plans.fixture_queries import rows
 from quire.plans.registry import query, values
@@ -60,7 +60,7 @@ WORDS = [("કે", "x", True), ("12", "x", True), ("નાટકમાં", "
 
 @query("word_supported", "SELECT word, source, supported FROM " + values(WORDS, "word, source, supported"))
 def word_supported(spark, d):
-    lost = claims.novel_words(F.array("word"), F.lower("source"), tokens(F.col("source")))
+    lost = claims.novel_words(F.array("word"), F.lower(F.col("source")), words_of(F.col("source")))
     return rows(spark, WORDS, "word, source, kept").select("word", "source", (F.size(lost) == 0).alias("supported"))
 
 
@@ -69,8 +69,8 @@ SHARED = [("મંચ જોઈએ અને નટો હાથી જોઈએ
 
 @query("page_overlap_share", "SELECT claim, page, share::DOUBLE AS share FROM " + values(SHARED, "claim, page, share"))
 def page_overlap_share(spark, d):
-    share = claims.support_share(claims.content_words(F.col("claim")), claims.flat(F.col("page")))
-    return rows(spark, SHARED, "claim, page, share").select("claim", "page", share.alias("share"))
+    held = rows(spark, SHARED, "claim, page, share").select("claim", "page", claims.content_words(F.col("claim")).alias("own"), claims.flat(F.col("page")).alias("form"))
+    return held.select("claim", "page", claims.support_share(F.col("own"), F.col("form")).alias("share"))
 
 
 SPANNING = [("the second act began", 2, 3), ("a whole line here", 2, 2), ("nowhere to be found", None, None)]
@@ -128,7 +128,7 @@ def answer_as_text(spark, d):
     return rows(spark, COPIED, "answer, copied").select("answer", show.answer_as_text(F.col("answer"), F.array(source(3, 4, "Acts"), source(5, 5, None)), F.lit("Book")).alias("copied"))
 
 
-CITED = [("moved (page 12). Next", "moved |page 12|. Next"), ("see page 3, then", "see |page 3, |then"), ("(page 4)", "|page 4|"), ("a (page 1) (page 2) b", "a |page 1| |page 2| b")]
+CITED = [("moved (page 12). Next", "moved |page 12|. Next"), ("see page 3, then", "see |page 3|, then"), ("(page 4)", "|page 4|"), ("a (page 1) (page 2) b", "a |page 1| |page 2| b")]
 
 
 @query("unwrap_cited", "SELECT line, parts FROM " + values(CITED, "line, parts"))

@@ -76,10 +76,12 @@ def update_by_key(spark, d):
     return store.update_by_key(o, F.col("o_custkey") == 7, {"status": F.lit("ready"), "updated_at": F.expr("TIMESTAMP_NTZ'2026-01-01 00:00:00'")}).drop("o_custkey")
 
 
-@query("fail_interrupted", "SELECT o_orderkey, CASE WHEN o_orderstatus IN ('O', 'P') THEN 'failed' ELSE o_orderstatus END AS status FROM orders")
+@query("fail_interrupted", "SELECT o_orderkey, CASE WHEN o_orderstatus IN ('O', 'P') AND o_custkey % 2 = 0 THEN 'failed' ELSE o_orderstatus END AS status, (SELECT count(*) FROM orders WHERE o_orderstatus IN ('O', 'P') AND o_custkey % 2 = 0) AS changed FROM orders")
 def fail_interrupted(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
-    return store.update_by_key(o, F.col("status").isin("O", "P"), {"status": F.lit("failed")})
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("status"))
+    match = F.col("status").isin("O", "P") & (F.col("o_custkey") % 2 == 0)
+    changed = store.count_matches(o, match)  # one row
+    return store.update_by_key(o, match, {"status": F.lit("failed")}).drop("o_custkey").withColumn("changed", F.lit(changed))
 
 
 @query("cascade_delete", "SELECT 'orders' AS kind, count(*) AS n FROM orders WHERE o_orderkey % 5 <> 0 UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 0)")
@@ -93,25 +95,40 @@ def cascade_delete(spark, d):
 @query("last_n_settled", "SELECT user_id, event_id FROM events WHERE event_type <> 'view' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 30")
 def last_n_settled(spark, d):
     e = table(spark, d, "events").where("event_type <> 'view'")
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
-    return e.withColumn("n", n).where("n <= 30").select("user_id", "event_id")
+    return store.latest(e, ["user_id"], [F.desc("ts"), F.desc("event_id")], 30).select("user_id", "event_id")
+
 
+@query("drop_oldest_quarter", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) > ceil(count(*) OVER (PARTITION BY user_id) / 4)")
+def drop_oldest_quarter(spark, d):
+    return store.drop_oldest_quarter(table(spark, d, "events").select("user_id", "event_id", "ts"), ["user_id"], ["ts", "event_id"]).drop("ts")
 
-@query("add_chunks", "SELECT d.doc_id, len(e.embedding) AS dim FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id")
+
+@query("add_chunks", "SELECT coalesce(d.doc_id, e.vec_id) AS doc_id, len(e.embedding) AS dim, CASE WHEN d.doc_id IS NULL THEN 'no chunk' WHEN e.vec_id IS NULL THEN 'no vector' ELSE 'paired' END AS state FROM documents d FULL JOIN embeddings e ON e.vec_id = d.doc_id")
 def add_chunks(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    c = table(spark, d, "documents").select("doc_id").join(e, "doc_id", "left_semi")
-    return store.append_vectors(c, e.join(c, "doc_id", "left_semi"), "doc_id").select("doc_id", F.size("embedding").alias("dim"))
+    return store.paired(table(spark, d, "documents").select("doc_id"), e, "doc_id").select("doc_id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dim"), "state")
+
+
+@query("insert_pending", "SELECT o_orderkey, o_orderstatus AS status FROM orders UNION ALL SELECT -1 - c_custkey, 'pending' FROM customer")
+def insert_pending(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    return store.insert(o, table(spark, d, "customer").select((-1 - F.col("c_custkey")).alias("o_orderkey")), {"status": F.lit("pending")})
+
+
+@query("save_evaluation", "SELECT conv_id AS book, count(*) AS n, '{\"turns\":' || count(*) || ',\"chars\":' || sum(length(text)) || '}' AS scores FROM conversations GROUP BY conv_id")
+def save_evaluation(spark, d):
+    c = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("book")).agg(F.count(F.lit(1)).alias("turns"), F.sum(F.length("text")).alias("chars"))
+    return store.as_json(c, "scores", ["turns", "chars"]).select("book", F.get_json_object("scores", "$.turns").cast("long").alias("n"), "scores")
 
 
-@query("left_join_chapter_summaries", "SELECT o.o_orderkey AS book, l.l_linenumber AS chapter, o.o_orderpriority AS title FROM lineitem l LEFT JOIN orders o ON o.o_orderkey = l.l_orderkey AND o.o_totalprice > 100000 WHERE l.l_orderkey < 2000 ORDER BY 1, 2")
+@query("left_join_chapter_summaries", "SELECT o.o_orderkey AS book, l.l_linenumber AS chapter, o.o_orderpriority AS title FROM lineitem l LEFT JOIN orders o ON o.o_orderkey = l.l_orderkey AND o.o_totalprice > 100000 ORDER BY 1, 2")
 def left_join_chapter_summaries(spark, d):
     o = table(spark, d, "orders").where("o_totalprice > 100000").select("o_orderkey", "o_orderpriority")
     j = table(spark, d, "lineitem").join(o, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return j.select(F.col("o_orderkey").alias("book"), F.col("l_linenumber").alias("chapter"), F.col("o_orderpriority").alias("title")).orderBy("book", "chapter")
 
 
-@query("neighbour_join", f"WITH c AS ({CHUNKS}) SELECT h.book, h.pos AS centre, n.pos FROM c h JOIN c n ON n.book = h.book AND abs(n.pos - h.pos) <= 1 AND (n.pos = h.pos OR n.lang = h.lang) WHERE h.pos % 10 = 2")
+@query("neighbour_join", f"WITH c AS ({CHUNKS}) SELECT h.book, h.pos AS centre, n.pos FROM c h JOIN c n ON n.book = h.book AND abs(n.pos - h.pos) <= 1 AND (n.pos = h.pos OR n.lang = h.lang)")
 def neighbour_join(spark, d):
     from quire.operators.retrieval import neighbours
 
@@ -148,43 +165,38 @@ def citation_overlap_join(spark, d):
 
 @query("quote_containment_join", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def quote_containment_join(spark, d):
-    """Inner word 4-grams are the equi-key: a document that contains a quote contains its key; contains() then decides."""
-    b = table(spark, d, "benchmark")
-    quote = b.select("item_id", F.col("text").alias("quote"), F.split("text", " ").alias("q"))
-    # inner words only: the first and last may continue in the document
-    keyed = quote.select("item_id", "quote", F.when(F.size("q") >= 6, F.array_join(F.slice("q", 2, 4), " ")).alias("key"))
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    word = docs.select("doc_id", F.split("text", " ").alias("w"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 4), " "))
-    long = word.select("doc_id", F.explode(F.array_distinct(grams)).alias("key")).join(F.broadcast(keyed.where("key is not null").select("key", "item_id")), "key").select("doc_id", "item_id").distinct()
-    by_key = long.join(docs, "doc_id").join(F.broadcast(quote.select("item_id", "quote")), "item_id").where(F.contains("text", "quote")).select("doc_id", "item_id")
-    short = docs.join(F.broadcast(keyed.where("key is null")), F.contains("text", "quote")).select("doc_id", "item_id")
-    return by_key.unionByName(short)
-
-
-@query("page_hit_rate", "SELECT round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 3) AS hit_rate, count(*) AS n FROM (SELECT l.doc_id, bool_or(c.turn + 1 = l.doc_id % 5 + 1) AS hit FROM labels l JOIN conversations c ON c.conv_id = l.doc_id % 100 AND c.role = 'user' WHERE l.quality = 1 AND l.toxic = 0 GROUP BY 1)")
+    from quire.operators.retrieval import containing
+
+    return containing(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote")))
+
+
+@query("page_hit_rate", "SELECT round(sum(hit::INT)::DOUBLE / nullif(count(*), 0), 3) AS hit_rate, count(*) AS n, sum(hit::INT) AS found FROM (SELECT l.doc_id, bool_or(c.turn + 1 = l.doc_id % 5 + 1) AS hit FROM labels l JOIN conversations c ON c.conv_id = l.doc_id % 100 AND c.role = 'user' WHERE l.quality = 1 AND l.toxic = 0 GROUP BY 1)")
 def page_hit_rate(spark, d):
     cases = table(spark, d, "labels").where("quality = 1 AND toxic = 0").select("doc_id", (F.col("doc_id") % 100).alias("book"), (F.col("doc_id") % 5 + 1).alias("expected"))
     cited = book_pages(spark, d).where("role = 'user'").groupBy("book").agg(F.collect_set("page").alias("cited"))
     hit = cases.join(cited, "book").select(F.arrays_overlap("cited", F.array("expected")).alias("hit"))
-    return hit.agg(F.round(F.avg(F.col("hit").cast("double")), 3).alias("hit_rate"), F.count(F.lit(1)).alias("n"))
+    found, n = F.count_if("hit"), F.count(F.lit(1))
+    return hit.agg(F.round(F.try_divide(found, n), 3).alias("hit_rate"), n.alias("n"), found.alias("found"))
 
 
-@query("extraction_stats", "SELECT book, count(*) AS pages, count(*) FILTER (role = 'user') AS digital, count(*) FILTER (role = 'assistant') AS ocr, sum(length(text))::BIGINT AS chars FROM (" + PAGES + ") GROUP BY book")
+@query("extraction_stats", "SELECT book, count(*) AS pages, count(*) FILTER (role = 'user') AS digital, count(*) FILTER (role = 'assistant') AS ocr, count(*) FILTER (role = 'system') AS empty, sum(length(text))::BIGINT AS chars FROM (" + PAGES + ") GROUP BY book")
 def extraction_stats(spark, d):
-    return book_pages(spark, d).groupBy("book").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("role") == "user").alias("digital"), F.count_if(F.col("role") == "assistant").alias("ocr"), F.sum(F.length("text")).alias("chars"))
+    kind = F.when(F.col("role") == "user", "digital").when(F.col("role") == "assistant", "ocr").otherwise("empty")
+    return pg.extraction_stats(book_pages(spark, d).withColumn("source", kind))
 
 
-@query("chunking_stats", "SELECT source AS book, count(*) AS chunks, round(avg(n), 1) AS mean, min(n) AS least, max(n) AS most FROM (SELECT source, length(text) AS n FROM documents) GROUP BY source")
+@query("chunking_stats", "SELECT s.source AS book, count(text) AS chunks, coalesce(round(avg(length(text)), 1), 0) AS mean, coalesce(min(length(text)), 0) AS least, coalesce(max(length(text)), 0) AS most FROM (SELECT DISTINCT source FROM documents UNION ALL SELECT 'no chunks') s LEFT JOIN documents d USING (source) GROUP BY s.source")
 def chunking_stats(spark, d):
-    n = F.length("text")
-    return chunks(spark, d).groupBy("book").agg(F.count(F.lit(1)).alias("chunks"), F.round(F.avg(n), 1).alias("mean"), F.min(n).alias("least"), F.max(n).alias("most"))
+    c = chunks(spark, d)
+    books = c.select("book").distinct().unionByName(spark.createDataFrame([("no chunks",)], "book string"))
+    return pg.chunking_stats(c.select("book", F.length("text").alias("tokens")), books)
 
 
-@query("refusal_metrics", "SELECT round(avg(CASE WHEN toxic = 1 THEN 1.0 ELSE 0.0 END) FILTER (quality = 0), 3) AS correct_refusals, round(avg(CASE WHEN toxic = 1 THEN 1.0 ELSE 0.0 END) FILTER (quality = 1), 3) AS false_refusals FROM labels")
+@query("refusal_metrics", "SELECT round(count(*) FILTER (quality = 0 AND toxic = 1)::DOUBLE / nullif(count(*) FILTER (quality = 0), 0), 3) AS refusal_recall, round(count(*) FILTER (quality = 1 AND toxic = 1)::DOUBLE / nullif(count(*) FILTER (quality = 1), 0), 3) AS false_refusal_rate, count(*) FILTER (quality = 0) AS unanswerable, count(*) FILTER (quality = 0 AND toxic = 1) AS correct_refusals, count(*) FILTER (quality = 1) AS answerable, count(*) FILTER (quality = 1 AND toxic = 1) AS false_refusals FROM labels")
 def refusal_metrics(spark, d):
-    refused = (F.col("toxic") == 1).cast("double")
-    return table(spark, d, "labels").agg(F.round(F.avg(F.when(F.col("quality") == 0, refused)), 3).alias("correct_refusals"), F.round(F.avg(F.when(F.col("quality") == 1, refused)), 3).alias("false_refusals"))
+    from quire.operators.evaluation import refusal_metrics as metrics
+
+    return metrics(table(spark, d, "labels").select((F.col("quality") == 1).alias("answerable"), (F.col("toxic") == 0).alias("found")))
 
 
 @query("library_counts", "SELECT count(*) AS books, count(*) FILTER (o_orderstatus IN ('O', 'P')) AS busy FROM orders")
@@ -245,9 +257,9 @@ def latest_per_key(spark, d):
     return store.latest(table(spark, d, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey", "o_totalprice")
 
 
-@query("sample_chunks", f"SELECT chunk, nullif(left(text, 40), '') AS sample FROM ({CHUNKS}) WHERE book = 'src1' ORDER BY pos LIMIT 5")
+@query("sample_chunks", f"SELECT chunk, nullif(text, '') AS sample FROM ({CHUNKS}) WHERE book = 'src1' ORDER BY pos LIMIT 5")
 def sample_chunks(spark, d):
-    return chunks(spark, d).where("book = 'src1'").orderBy("pos").limit(5).select("chunk", F.nullif(F.substring("text", 1, 40), F.lit("")).alias("sample"))
+    return chunks(spark, d).where("book = 'src1'").orderBy("pos").limit(5).select("chunk", F.nullif("text", F.lit("")).alias("sample"))
 
 
 @query("pages_shown", f"SELECT book, string_agg(DISTINCT page::VARCHAR, ',' ORDER BY page::VARCHAR) AS pages FROM (SELECT book, unnest(range(start, \"end\" + 1)) AS page FROM ({SPANS})) GROUP BY book")
@@ -315,21 +327,45 @@ def budget_batches(spark, d):
     return batches(chunks(spark, d).select("book", F.col("pos"), F.greatest(F.lit(1), F.floor(F.length("text") / 3)).cast("int").alias("weight")), 6000)
 
 
-@query("pack_windows")
+#: Sentences of a conversation's pages, those over {size} estimated tokens cut into pieces of as many words as reach it (no word of the tables is Gujarati).
+UNITS = r"""
+t AS (SELECT conv_id AS book, turn + 1 AS page, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\n\s*\n', chr(1), 'g'), '([।॥?!.])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM conversations),
+x AS (SELECT book, page, unnest(l) AS sentence, generate_subscripts(l, 1) AS k FROM t), w AS (SELECT *, list_filter(regexp_split_to_array(sentence, '\s+'), lambda y: y <> '') AS w FROM x),
+z AS (SELECT list_min(list_filter(range(1, {size} + 1), lambda y: floor(y * 1.3::DOUBLE)::INT + 1 >= {size})) AS step),
+i AS (SELECT book, page, k, unnest(CASE WHEN floor(len(w) * 1.3::DOUBLE)::INT + 1 > {size} THEN list_transform(range(0, len(w), step), lambda a: array_to_string(w[a + 1:a + step], ' ')) ELSE [sentence] END) AS sentence, generate_subscripts(CASE WHEN floor(len(w) * 1.3::DOUBLE)::INT + 1 > {size} THEN range(0, len(w), step) ELSE [0] END, 1) AS p FROM w, z),
+units AS (SELECT book, page, row_number() OVER (PARTITION BY book, page ORDER BY k, p) - 1 AS n, sentence, floor(len(list_filter(regexp_split_to_array(sentence, '\s+'), lambda y: y <> '')) * 1.3::DOUBLE)::INT + 1 AS tokens FROM i)"""
+#: Windows over units u(book, chapter, pos, tokens): each step appends a unit, to the open window or to a new one that begins with the old one's longest tail within the overlap.
+WINDOWS = """
+o AS (SELECT *, row_number() OVER (PARTITION BY book, chapter ORDER BY pos) AS k FROM u),
+s AS (SELECT book, chapter, k, 0 AS win, [{'pos': pos, 'tokens': tokens}] AS held, [pos] AS added FROM o WHERE k = 1
+  UNION ALL SELECT book, chapter, k, win + CASE WHEN closes THEN 1 ELSE 0 END, list_append(CASE WHEN closes THEN tail ELSE held END, unit), list_append(CASE WHEN closes THEN list_transform(tail, lambda x: x.pos) ELSE [] END, unit.pos)
+  FROM (SELECT s.book, s.chapter, o.k, s.win, s.held, {'pos': o.pos, 'tokens': o.tokens} AS unit, list_sum(list_transform(s.held, lambda x: x.tokens)) + o.tokens > {size} AS closes,
+    s.held[list_min(list_filter(range(1, len(s.held) + 2), lambda a: coalesce(list_sum(list_transform(s.held[a:], lambda x: x.tokens)), 0) <= {overlap})):] AS tail
+    FROM s JOIN o ON o.book = s.book AND o.chapter = s.chapter AND o.k = s.k + 1)),
+packed AS (SELECT book, chapter, win AS "window", unnest(added) AS pos FROM s)"""
+
+
+def packing_sql(units: str, size: int, overlap: int, select: str) -> str:
+    windows = WINDOWS.replace("{size}", str(size)).replace("{overlap}", str(overlap))
+    return f"WITH RECURSIVE {UNITS.replace('{size}', str(size))},\nu AS ({units}),{windows}\n{select}"
+
+
+@query("pack_windows", packing_sql("SELECT book, -1 AS chapter, page * 1000000 + n AS pos, tokens FROM units", 40, 12, "SELECT * FROM packed"))
 def pack_windows(spark, d):
+    """Small windows, so that long sentences are cut and windows overlap."""
     from quire.operators.grouped import pack_windows as packed, sentence_units
 
-    units = sentence_units(book_pages(spark, d).select("book", "page", "text"))
-    return packed(units.select("book", F.lit(-1).alias("chapter"), (F.col("page") * 1_000_000 + F.col("n")).alias("pos"), "tokens"), 400, 50)
+    units = sentence_units(book_pages(spark, d).select("book", "page", "text"), 40)
+    return packed(units.select("book", F.lit(-1).alias("chapter"), (F.col("page") * 1_000_000 + F.col("n")).alias("pos"), "tokens"), 40, 12)
 
 
-@query("chunk_documents")
+@query("chunk_documents", packing_sql(
+    f"SELECT units.book, coalesce(c.chapter, -1) AS chapter, units.page * 1000000 + n AS pos, tokens FROM units LEFT JOIN ({SPANS}) c ON c.book = units.book AND units.page BETWEEN c.start AND c.\"end\"", 60, 20,
+    f"""SELECT g.book, chapter, page_start, page_end, token_count, text, chunk_index, g.book || ':' || chunk_index AS chunk_id, coalesce(s.title, '') AS chapter_title FROM (
+    SELECT p.book, p.chapter, p."window", min(page) AS page_start, max(page) AS page_end, sum(tokens)::BIGINT AS token_count, string_agg(sentence, ' ' ORDER BY p.pos) AS text, row_number() OVER (PARTITION BY p.book ORDER BY p.chapter, p."window") - 1 AS chunk_index
+    FROM packed p JOIN units ON units.book = p.book AND units.page * 1000000 + units.n = p.pos GROUP BY p.book, p.chapter, p."window") g LEFT JOIN ({SPANS}) s USING (book, chapter)""",
+))
 def chunk_documents(spark, d):
-    from quire.operators.grouped import pack_windows as packed, sentence_units
+    from quire.operators.ingestion import chunk_pages
 
-    units = sentence_units(book_pages(spark, d).select("book", "page", "text")).join(pg.pages_in_chapters(book_pages(spark, d), spans(spark, d)), ["book", "page"])
-    units = units.withColumn("pos", F.col("page") * 1_000_000 + F.col("n"))
-    windows = packed(units.select("book", "chapter", "pos", "tokens")).join(units, ["book", "chapter", "pos"])
-    made = windows.groupBy("book", "chapter", "window").agg(F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.sum("tokens").alias("token_count"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), " ").alias("text"))
-    index = F.row_number().over(Window.partitionBy("book").orderBy("chapter", "window")) - 1
-    return made.withColumn("chunk_index", index).withColumn("chunk_id", F.concat_ws(":", F.col("book").cast("string"), F.col("chunk_index").cast("string"))).drop("window")
+    return chunk_pages(book_pages(spark, d), spans(spark, d), size=60, overlap=20)

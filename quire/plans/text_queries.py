@@ -67,32 +67,45 @@ def parse_chunk_id(spark, d):
     return docs(spark, d).select("doc_id", F.regexp_extract(cid, "^(.*):[^:]*$", 1).alias("book"), F.substring_index(cid, ":", -1).try_cast("int").alias("pos"))
 
 
-@query("distinct_in_order", r"SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(w), lambda x: list_position(w, x))), lambda p: w[p]), ' ') AS words FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE n_chars < 2000)")
+@query("distinct_in_order", r"SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS words FROM (SELECT doc_id, w, min(p) AS p FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS p FROM documents) GROUP BY doc_id, w) GROUP BY doc_id")
 def distinct_in_order(spark, d):
     return docs(spark, d).select("doc_id", F.array_join(F.array_distinct(F.split("text", " ")), " ").alias("words"))
 
 
-@query("answer_blocks", r"SELECT doc_id, unnest(range(len(b))) AS n, unnest(b) AS text FROM (SELECT doc_id, list_filter(list_transform(list_filter(list_transform(regexp_split_to_array(text, '\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), lambda x: regexp_replace(regexp_replace(x, '\*\*|__', '', 'g'), '^([-*•]|\d+[.)])\s+', '')), lambda x: x <> '') AS b FROM documents)")
+HEADED = r"regexp_matches(x, '^#{1,6}\s+\S') AND NOT regexp_matches(x, '^#{1,6}\s+:$')"
+BOLD = r"regexp_matches(x, '^(\*\*[^*]{1,80}\*\*|__[^_]{1,80}__)\s*:?$')"
+ITEM = r"regexp_matches(regexp_replace(x, '\*\*|__', '', 'g'), '^([-*•]|[0-9]+[.)]|[૦-૯]+[.)])\s+')"
+
+
+@query("answer_blocks", rf"""
+WITH l AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')) AS x, generate_subscripts(list_filter(list_transform(regexp_split_to_array(text, '\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), 1) AS k FROM documents),
+b AS (SELECT doc_id, k, CASE WHEN {HEADED} OR {BOLD} THEN 'heading' WHEN {ITEM} THEN 'item' ELSE 'paragraph' END AS kind,
+  CASE WHEN {HEADED} THEN trim(regexp_replace(regexp_replace(regexp_replace(x, '^#{{1,6}}\s+', ''), '\s*:$', ''), '\*\*|__', '', 'g')) WHEN {BOLD} THEN trim(regexp_replace(regexp_replace(x, '\s*:$', ''), '\*\*|__', '', 'g'))
+  WHEN {ITEM} THEN regexp_replace(regexp_replace(x, '\*\*|__', '', 'g'), '^([-*•]|[0-9]+[.)]|[૦-૯]+[.)])\s+', '') ELSE regexp_replace(x, '\*\*|__', '', 'g') END AS text FROM l)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS n, kind, text FROM b WHERE text <> ''""")
 def answer_blocks(spark, d):
-    return docs(spark, d).select("doc_id", F.posexplode(answers.answer_blocks(F.col("text"))).alias("n", "block")).select("doc_id", "n", "block.text")
+    return docs(spark, d).select("doc_id", F.posexplode(answers.answer_blocks(F.col("text"))).alias("n", "block")).select("doc_id", "n", "block.kind", "block.text")
+
+
+BODY = r"regexp_replace(regexp_replace(c.text, '(?i)(?:પાનું|પાનાં|પાના|પૃષ્ઠ|pages?|p\.)\s*([0-9૦-૯][0-9૦-૯\s,\-‐‑–—]*)', ' ', 'g'), '(?m)^\s*(?:[-*•]\s*)?[0-9૦-૯]+[.)]\s', ' ', 'g')"
 
 
-@query("unsupported_numbers", r"SELECT c.conv_id, c.turn, unnest(list_filter(list_distinct(regexp_extract_all(c.text, '[0-9]+')), lambda n: NOT list_contains(regexp_extract_all(d.text, '[0-9]+'), n))) AS number FROM conversations c JOIN documents d ON d.doc_id = c.conv_id")
+@query("unsupported_numbers", rf"SELECT c.conv_id, c.turn, unnest(list_filter(list_distinct(regexp_extract_all({BODY}, '[0-9]+')), lambda n: NOT list_contains(regexp_extract_all(d.text, '[0-9]+'), n))) AS number FROM conversations c JOIN documents d ON d.doc_id = c.conv_id")
 def unsupported_numbers(spark, d):
-    numbers = lambda c: F.array_distinct(F.regexp_extract_all(text.latin_digits(F.col(c)), F.lit("([0-9]+)"), 1))
-    c = table(spark, d, "conversations").select("conv_id", "turn", numbers("text").alias("said"))
-    p = docs(spark, d).select(F.col("doc_id").alias("conv_id"), numbers("text").alias("known"))
-    return c.join(p, "conv_id").select("conv_id", "turn", F.explode(F.array_except("said", "known")).alias("number"))
+    from quire.operators.grounding import missing_numbers
+
+    p = docs(spark, d).select(F.col("doc_id").alias("conv_id"), F.col("text").alias("corpus"))
+    c = table(spark, d, "conversations").select("conv_id", "turn", "text").join(p, "conv_id")
+    return c.select("conv_id", "turn", F.explode(missing_numbers(F.col("text"), F.col("corpus"))).alias("number"))
 
 
 @query("quote_exact", "SELECT b.item_id, count(*) AS holders FROM benchmark b JOIN documents d ON contains(regexp_replace(d.text, '\\s+', ' ', 'g'), regexp_replace(b.text, '\\s+', ' ', 'g')) GROUP BY 1")
 def quote_exact(spark, d):
-    from quire.plans.table_queries import quote_containment_join
+    from quire.operators.retrieval import containing
 
     flat = lambda t: F.trim(F.regexp_replace(t, r"\s+", " "))
-    b = table(spark, d, "benchmark").select("item_id", flat("text").alias("quote"))
-    p = docs(spark, d).select("doc_id", flat("text").alias("flat"))
-    return p.join(F.broadcast(b), F.contains("flat", "quote")).groupBy("item_id").agg(F.count(F.lit(1)).alias("holders"))
+    held = containing(docs(spark, d).select("doc_id", flat("text").alias("text")), table(spark, d, "benchmark").select("item_id", flat("text").alias("quote")))
+    return held.groupBy("item_id").agg(F.count(F.lit(1)).alias("holders"))
 
 
 @query("format_pages", "SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey <= l_linenumber THEN 'p. ' || l_linenumber ELSE 'pp. ' || l_linenumber || '–' || l_suppkey END AS label FROM lineitem")
@@ -105,7 +118,7 @@ def format_duration(spark, d):
     return table(spark, d, "events").select("event_id", answers.format_duration(F.col("value")).alias("label"))
 
 
-@query("format_passages", "SELECT source AS book, string_agg('[' || pos || '] page ' || doc_id || ' | chapter: ' || lang || chr(10) || left(text, 50), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos) AS prompt FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos FROM documents) WHERE pos <= 5 GROUP BY source")
+@query("format_passages", "SELECT source AS book, string_agg('[' || pos || '] page ' || doc_id || ' | chapter: ' || lang || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pos) AS prompt FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS pos FROM documents) WHERE pos <= 5 GROUP BY source")
 def format_passages(spark, d):
     pos = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
     block = F.concat(F.format_string("[%d] page %d | chapter: %s\n", F.col("pos"), F.col("doc_id"), F.col("lang")), F.col("text"))
@@ -122,7 +135,7 @@ def line_books(spark, d):
 LINES = r"WITH p AS (SELECT source AS book, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, text FROM documents), x AS (SELECT book, page, unnest(range(len(l))) AS k, trim(unnest(l)) AS line FROM (SELECT book, page, string_split(text, chr(10)) AS l FROM p)), n AS (SELECT *, row_number() OVER (PARTITION BY book, page ORDER BY k) AS up, row_number() OVER (PARTITION BY book, page ORDER BY k DESC) AS down FROM x WHERE line <> ''), s AS (SELECT book, count(*) AS pages FROM p GROUP BY book)"
 
 
-@query("running_headers", LINES + " SELECT n.book, n.line, count(DISTINCT n.page) AS on_pages FROM n JOIN s USING (book) WHERE up <= 2 OR down <= 2 GROUP BY n.book, n.line HAVING count(DISTINCT n.page) >= greatest(3, floor(max(s.pages) * 0.04)) AND max(s.pages) >= 5")
+@query("running_headers", LINES + " SELECT n.book, n.line, count(DISTINCT n.page) AS on_pages FROM n JOIN s USING (book) WHERE up <= 2 OR down <= 2 GROUP BY n.book, n.line HAVING NOT regexp_matches(n.line, '^[0-9]{1,4}$') AND count(DISTINCT n.page) >= greatest(3, floor(max(s.pages) * 0.04)) AND max(s.pages) >= 5")
 def running_headers(spark, d):
     return pg.running_lines(line_books(spark, d), 0.04)
 
@@ -140,22 +153,48 @@ def folio_offset(spark, d):
     return pg.folio_offset(numbered_pages(spark, d))
 
 
-@query("strip_running_headers", "SELECT conv_id AS book, turn + 1 AS page, CASE WHEN n < 5 THEN 'Head' || chr(10) || text ELSE trim(text) END AS text FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE text NOT LIKE '%' || chr(10) || '%' AND trim(text) <> '') QUALIFY count(*) OVER (PARTITION BY conv_id, trim(text)) < 3")
+#: Pages with their printed number, three less than the page's own, as a last line.
+PRINTED = r"p AS (SELECT source AS book, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, text || chr(10) || (row_number() OVER (PARTITION BY source ORDER BY doc_id) + 3) AS text FROM documents)"
+
+
+def bare(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def furniture(x: str) -> str:
+    """SQL for a blank, running or page-number line."""
+    return f"({bare(x)} = '' OR list_contains(coalesce(running, []), {bare(x)}) OR coalesce(regexp_matches({bare(x)}, '^[0-9]{{1,4}}$') AND TRY_CAST({bare(x)} AS INT) = page - delta, false))"
+
+
+def leading(lines: str) -> str:
+    """SQL for how many of the first two lines are furniture."""
+    return f"CASE WHEN len({lines}) > 0 AND {furniture(f'{lines}[1]')} THEN CASE WHEN len({lines}) > 1 AND {furniture(f'{lines}[2]')} THEN 2 ELSE 1 END ELSE 0 END"
+
+
+@query("strip_running_headers", f"""
+WITH {PRINTED}, x AS (SELECT book, page, unnest(l) AS raw, generate_subscripts(l, 1) AS k FROM (SELECT book, page, string_split(text, chr(10)) AS l FROM p)),
+n AS (SELECT book, page, line, row_number() OVER (PARTITION BY book, page ORDER BY k) AS up, row_number() OVER (PARTITION BY book, page ORDER BY k DESC) AS down, k FROM (SELECT *, {bare('raw')} AS line FROM x) WHERE line <> ''),
+z AS (SELECT book, count(*) AS pages FROM p GROUP BY book),
+r AS (SELECT book, list(line) AS running FROM (SELECT n.book, line FROM n JOIN z USING (book) WHERE (up <= 2 OR down <= 2) AND NOT regexp_matches(line, '^[0-9]{{1,4}}$') GROUP BY n.book, line HAVING max(pages) >= 5 AND count(DISTINCT page) >= greatest(3, floor(max(pages) * 0.04))) GROUP BY book),
+e AS (SELECT book, page, line, 0 AS side, k FROM n WHERE up <= 2 UNION ALL SELECT book, page, line, 1, k FROM n WHERE down <= 2),
+v AS (SELECT book, page - line::INT AS delta, count(*) AS hits, min((page, side, k)) AS first FROM e WHERE regexp_matches(line, '^[0-9]{{1,4}}$') GROUP BY 1, 2),
+o AS (SELECT v.book, delta FROM (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY book ORDER BY hits DESC, first) = 1) v JOIN z USING (book) WHERE hits >= greatest(3, pages // 10)),
+t AS (SELECT p.book, page, text, pages, running, delta, string_split(text, chr(10)) AS l FROM p JOIN z USING (book) LEFT JOIN r USING (book) LEFT JOIN o USING (book)),
+u AS (SELECT *, l[({leading('l')}) + 1:] AS rest FROM t), w AS (SELECT *, list_reverse(rest) AS back FROM u),
+q AS (SELECT *, list_reverse(back[({leading('back')}) + 1:]) AS kept FROM w)
+SELECT book, page, CASE WHEN pages < 5 THEN text ELSE {bare('array_to_string(kept, chr(10))')} END AS text FROM q""")
 def strip_running_headers(spark, d):
-    c = table(spark, d, "conversations").where("text NOT LIKE '%\\n%' AND trim(text) <> ''")
-    rare = c.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("conv_id", F.trim("text")))).where("n < 3")
-    headed = c.select(F.col("conv_id").alias("book"), (F.col("turn") + 1).alias("page"), F.concat(F.lit("Head\n"), "text").alias("text"))
-    keys = rare.select(F.col("conv_id").alias("book"), (F.col("turn") + 1).alias("page"))
-    return pg.strip_running_lines(headed).join(keys, ["book", "page"])
+    p = line_books(spark, d).withColumn("text", F.concat("text", F.lit("\n"), (F.col("page") + 3).cast("string")))
+    return pg.strip_running_lines(p, share=0.04)
 
 
 NORM = "sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)))"
 
 
-@query("normalize_vectors", f"SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE / {NORM})), 6) AS total, round(embedding[1]::DOUBLE / {NORM}, 6) AS first FROM embeddings")
+@query("normalize_vectors", f"SELECT vec_id, unnest(range(len(embedding))) AS at, round(unnest(list_transform(embedding, lambda x: x::DOUBLE / {NORM})), 6) AS value FROM embeddings")
 def normalize_vectors(spark, d):
-    v = table(spark, d, "embeddings").select("vec_id", rt.unit(F.col("embedding")).alias("v"))
-    return v.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.element_at("v", 1), 6).alias("first"))
+    v = table(spark, d, "embeddings").select("vec_id", F.posexplode(rt.unit(F.col("embedding"))).alias("at", "value"))
+    return v.withColumn("value", F.round("value", 6))
 
 
 #: Rows whose id is divisible by this are queries.
@@ -170,7 +209,7 @@ def vector_chunks(spark, d):
     return table(spark, d, "embeddings").select(F.col("label").alias("book"), F.col("vec_id").alias("chunk"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vector"))
 
 
-@query("vector_topk", "WITH q AS (SELECT vec_id AS query, list_transform(embedding, lambda x: x::DOUBLE) AS a FROM embeddings WHERE vec_id < 3), s AS (SELECT query, label AS book, vec_id AS chunk, list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), a) AS s FROM embeddings, q), r AS (SELECT *, row_number() OVER (PARTITION BY query, book ORDER BY round(1 - s, 9), chunk) AS rank FROM s) SELECT query, book, chunk, round(s, 6) AS score, rank FROM r WHERE rank <= 10")
+@query("vector_topk", "WITH q AS (SELECT vec_id AS query, list_transform(embedding, lambda x: x::DOUBLE) AS a FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query, label AS book, vec_id AS chunk, list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), a) AS s FROM embeddings, q), r AS (SELECT *, row_number() OVER (PARTITION BY query, book ORDER BY round(1 - s, 9), chunk) AS rank FROM s) SELECT query, book, chunk, round(s, 6) AS score, rank FROM r WHERE rank <= 10")
 def vector_topk(spark, d):
     return rt.vector_topk(vector_chunks(spark, d), query_vectors(spark, d)).withColumn("score", F.round("score", 6))
 
@@ -189,14 +228,14 @@ l AS (SELECT book, chunk, len(t) AS n FROM w), a AS (SELECT book, count(*) AS do
 tf AS (SELECT book, chunk, token, count(*) AS tf FROM (SELECT book, chunk, unnest(t) AS token FROM w) GROUP BY ALL),
 df AS (SELECT book, token, count(*) AS df FROM tf GROUP BY ALL), i0 AS (SELECT df.*, ln(docs - df + 0.5) - ln(df + 0.5) AS raw FROM df JOIN a USING (book)),
 i AS (SELECT book, token, df, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER (PARTITION BY book) ELSE raw END AS idf FROM i0),
-q AS (SELECT item_id AS query, token, count(*) AS times FROM (SELECT item_id, unnest({TOKENS}) AS token FROM benchmark WHERE item_id < 5) GROUP BY ALL),
+q AS (SELECT item_id AS query, token, count(*) AS times FROM (SELECT item_id, unnest({TOKENS}) AS token FROM benchmark WHERE item_id % 100 = 0) GROUP BY ALL),
 s AS (SELECT query, tf.book, tf.chunk, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / avgdl))) AS s FROM q JOIN tf USING (token) JOIN i ON i.book = tf.book AND i.token = tf.token JOIN l ON l.book = tf.book AND l.chunk = tf.chunk JOIN a ON a.book = tf.book GROUP BY ALL HAVING s > 0),
 b AS (SELECT *, row_number() OVER (PARTITION BY query, book ORDER BY round(s, 9) DESC, chunk) AS rank FROM s)"""
 
 
 @query("bm25_corpus_stats", f"WITH {BM25} SELECT book, token, df, round(idf, 6) AS idf FROM i")
 def bm25_corpus_stats(spark, d):
-    return rt.corpus_stats(rt.term_counts(text_chunks(spark, d)))[1].withColumn("idf", F.round("idf", 6))
+    return rt.corpus_stats(rt.bm25_index(text_chunks(spark, d)))[1].withColumn("idf", F.round("idf", 6))
 
 
 @query("bm25_topk", f"WITH {BM25} SELECT query, book, chunk, round(s, 6) AS score, rank FROM b WHERE rank <= 10")
@@ -213,27 +252,41 @@ def rrf_fusion(spark, d):
         w = Window.partitionBy("l_suppkey").orderBy(F.desc(by), "l_orderkey", "l_linenumber")
         return table(spark, d, "lineitem").select(F.lit(0).alias("query"), F.col("l_suppkey").alias("book"), F.col("l_orderkey").alias("chunk"), F.row_number().over(w).alias("rank")).where("rank <= 10")
 
-    return rt.fuse([(0, ranked("l_extendedprice")), (1, ranked("l_quantity"))]).select("book", "chunk", F.round("score", 6).alias("score"), "rank")
+    return rt.fuse([("price", ranked("l_extendedprice")), ("quantity", ranked("l_quantity"))]).select("book", "chunk", F.round("score", 6).alias("score"), "rank")
 
 
 @query("hybrid_search", f"""
-WITH {BM25.replace("FROM documents)", "FROM documents JOIN embeddings ON vec_id = doc_id)")},
-vq AS (SELECT vec_id AS query, list_transform(embedding, lambda x: x::DOUBLE) AS a FROM embeddings WHERE vec_id < 5),
-vs AS (SELECT query, source AS book, doc_id AS chunk, list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), a) AS s FROM documents JOIN embeddings ON vec_id = doc_id, vq),
-v AS (SELECT *, row_number() OVER (PARTITION BY query, book ORDER BY round(1 - s, 9), chunk) AS rank FROM vs),
-u AS (SELECT query, book, chunk, 0 AS list, rank FROM b WHERE rank <= 10 UNION ALL SELECT query, book, chunk, 1, rank FROM v WHERE rank <= 10),
-f AS (SELECT query, book, chunk, {RRF} AS s, min(list * 1000 + rank) AS f, max(rank) FILTER (list = 0) AS bm25_rank, max(rank) FILTER (list = 1) AS vector_rank FROM u GROUP BY ALL),
+WITH {BM25},
+vq AS (SELECT vec_id AS query, list_transform(embedding, lambda x: x::DOUBLE) AS a FROM embeddings WHERE vec_id % 100 = 0),
+xq AS (SELECT vec_id - 1 AS query, list_transform(embedding, lambda x: x::DOUBLE) AS a FROM embeddings WHERE vec_id % 100 = 1),
+c AS (SELECT source AS book, doc_id AS chunk, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM documents JOIN embeddings ON vec_id = doc_id),
+v AS (SELECT *, row_number() OVER (PARTITION BY query, book ORDER BY round(1 - s, 9), chunk) AS rank FROM (SELECT query, book, chunk, list_cosine_similarity(v, a) AS s FROM c, vq)),
+e AS (SELECT *, row_number() OVER (PARTITION BY query, book ORDER BY round(1 - s, 9), chunk) AS rank FROM (SELECT query, book, chunk, list_cosine_similarity(v, a) AS s FROM c, xq)),
+u AS (SELECT query, book, chunk, 0 AS list, rank, s FROM b WHERE rank <= 10 UNION ALL SELECT query, book, chunk, 1, rank, s FROM v WHERE rank <= 10 UNION ALL SELECT query, book, chunk, 2, rank, s FROM e WHERE rank <= 10),
+f AS (SELECT query, book, chunk, {RRF} AS s, min(list * 1000 + rank) AS f, max(rank) FILTER (list = 0) AS bm25_rank, max(u.s) FILTER (list = 0) AS bm25_score, coalesce(max(rank) FILTER (list = 1), max(rank) FILTER (list = 2)) AS vector_rank, coalesce(max(u.s) FILTER (list = 1), max(u.s) FILTER (list = 2)) AS vector_score FROM u GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query, book ORDER BY round(s, 9) DESC, f, chunk) AS rank FROM f)
-SELECT query, book, chunk, round(s, 6) AS score, rank, bm25_rank, vector_rank FROM r WHERE rank <= 5""")
+SELECT query, book, chunk, round(s, 6) AS score, rank, bm25_rank, round(bm25_score, 6) AS bm25_score, vector_rank, round(vector_score, 6) AS vector_score, text FROM r JOIN documents ON doc_id = chunk WHERE rank <= 5""")
 def hybrid_search(spark, d):
+    """The second wording's vector is that of the next id."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk"), F.col("embedding").alias("vector"))
     c = text_chunks(spark, d).join(v, "chunk", "left")
-    q = query_texts(spark, d).join(query_vectors(spark, d), "query", "full")
-    return rt.hybrid_search(c, q, script=None).withColumn("score", F.round("score", 6))
-
-
-@query("widen_passages", "WITH c AS (SELECT conv_id AS book, turn AS pos, turn + 1 AS page, text FROM conversations), h AS (SELECT book, pos, row_number() OVER (PARTITION BY book ORDER BY length(text) DESC, pos) AS rank FROM c), n AS (SELECT h.book, c.pos, min(c.page) AS page, min(rank) FILTER (c.pos = h.pos) AS rank FROM h JOIN c ON c.book = h.book AND abs(c.pos - h.pos) <= 1 WHERE rank <= 2 GROUP BY 1, 2), r AS (SELECT *, pos - row_number() OVER (PARTITION BY book ORDER BY pos) AS run FROM n) SELECT book, book || ':' || min(pos) || '-' || max(pos) AS chunk, min(page) AS page_start, max(page) AS page_end, min(rank) AS rank FROM r GROUP BY book, run")
+    second = v.where(F.col("chunk") % QUERY_STEP == 1).select((F.col("chunk") - 1).alias("query"), F.col("vector").alias("extra"))
+    q = query_texts(spark, d).join(query_vectors(spark, d), "query", "full").join(second, "query", "full")
+    found = rt.hybrid_search(c, q, script=None)
+    return found.select("query", "book", "chunk", F.round("score", 6).alias("score"), "rank", "bm25_rank", F.round("bm25_score", 6).alias("bm25_score"), "vector_rank", F.round("vector_score", 6).alias("vector_score"), "text")
+
+
+@query("widen_passages", """
+WITH c AS (SELECT conv_id AS book, turn AS pos, turn + 1 AS page_start, turn + 1 + turn % 2 AS page_end, text, turn // 3 AS chapter, role FROM conversations),
+h AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY length(text) DESC, pos) AS rank FROM c QUALIFY rank <= 2),
+n AS (SELECT c.book, c.pos, max(c.text) AS text, min(c.page_start) AS low, max(c.page_end) AS high, min(h.rank) FILTER (c.pos = h.pos) AS rank FROM h JOIN c ON c.book = h.book AND abs(c.pos - h.pos) <= 1 AND c.chapter = h.chapter GROUP BY 1, 2),
+r AS (SELECT *, pos - row_number() OVER (PARTITION BY book ORDER BY pos) AS run FROM n),
+m AS (SELECT book, min(pos) AS first, max(pos) AS last, min(low) AS page_start, max(high) AS page_end, min(rank) AS rank, list(text ORDER BY pos) AS parts FROM r GROUP BY book, run),
+j AS (SELECT *, list_reduce(parts, lambda a, b: CASE WHEN list_min(list_filter(range(1, length(a) - 6), lambda p: length(b) >= 8 AND starts_with(b, substr(a, p)))) IS NULL THEN a || ' ' || b ELSE left(a, list_min(list_filter(range(1, length(a) - 6), lambda p: starts_with(b, substr(a, p)))) - 1) || b END) AS text FROM m)
+SELECT j.book, CASE WHEN first < last THEN j.book || ':' || first || '-' || last ELSE j.book || ':' || h.pos END AS chunk, j.text, j.page_start, j.page_end, j.rank, h.pos, h.chapter, h.role FROM j JOIN h ON h.book = j.book AND h.rank = j.rank""")
 def widen_passages(spark, d):
-    c = table(spark, d, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("pos"), (F.col("turn") + 1).alias("page"), "text", F.lit(1).alias("chapter"))
+    at = F.col("turn")
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("book"), at.alias("pos"), (at + 1).alias("page_start"), (at + 1 + at % 2).alias("page_end"), "text", F.expr("turn div 3").alias("chapter"), "role")
     rank = F.row_number().over(Window.partitionBy("book").orderBy(F.length("text").desc(), "pos"))
-    return rt.widen_passages(c.select("book", "pos", rank.alias("rank")), c, 2).drop("text")
+    hits = c.withColumn("rank", rank).withColumn("chunk", F.concat_ws(":", F.col("book").cast("string"), F.col("pos").cast("string")))
+    return rt.widen_passages(hits, c, 2)

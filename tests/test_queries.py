@@ -8,7 +8,6 @@ from quire import catalog
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"quote_containment_join", "bm25_corpus_stats"}
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +30,7 @@ def plain(df: pd.DataFrame) -> list[tuple]:
     return sorted(tuple(one(v) for v in row) for row in df[sorted(df.columns)].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_matches_sql(spark, duck, name):
     got, want = catalog.queries()[name](spark, DIR).toPandas(), duck.sql(catalog.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
