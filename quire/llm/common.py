@@ -2,54 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import re
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of a staged table up to which it is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 50_000
-
+from quire.staging import broadcast_if_small, stage  # noqa: F401  the operators take both from here
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, which every executor can read; only a local master does without that setting. It goes when the driver ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = f"{tempfile.gettempdir()}/checkpoints"
-    made = f"{base.rstrip('/')}/quire-{uuid.uuid4().hex}"
-    atexit.register(_discard, spark, made)
-    return made
-
-
-def _discard(spark: SparkSession, folder: str) -> None:
-    with contextlib.suppress(Exception):  # the JVM may be gone
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and lost executors cost no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast of a staged table only after counting it; beyond the limit Spark joins by shuffle."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def column_type(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 

@@ -1,7 +1,8 @@
 """Quality by hierarchical empirical Bayes: document evidence, then host and path posteriors.
 
 A logistic classifier on shares of character classes and repeated words gives each document a probability of
-good quality. Probabilities are summed by host (`source`) and by path under it (host and `lang`); a path's mean
+good quality. Probabilities are summed by host (`source`) and by path under it (host and `lang`; documents have no
+URL, of_pages derives both from the URLs of web pages); a path's mean
 is shrunk toward its host's, a host's toward the corpus's, by as many pseudo-documents as the method of moments
 finds (within PRIOR_LIMITS). The document's log-odds move by what its path's posterior says beyond the corpus.
 
@@ -127,20 +128,28 @@ def _logit(c):
     return F.ln(p / (1 - p))
 
 
+def of_pages(pages: DataFrame) -> DataFrame:
+    """pages(page_id, url, html) as documents: source is the URL's host without www, lang its first path segment, text the HTML without scripts, styles and tags."""
+    host = F.regexp_replace(F.lower(F.try_parse_url("url", F.lit("HOST"))), r"^www\.", "")
+    section = F.nullif(F.regexp_extract(F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("")), "^/([^/]+)", 1), F.lit(""))
+    text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"<[^>]*>", " ")
+    return pages.select(F.col("page_id").alias("doc_id"), text.alias("text"), F.coalesce(host, F.lit("")).alias("source"), section.alias("lang"))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, host, path, document_p, host_p, path_p, score, kept) for each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
-    rows = docs.select(F.struct("doc_id", F.col("source").alias("host"), path.alias("path")).alias("row"), F.col("text").cast("binary").alias("text"))
+    rows = docs.select(F.struct("doc_id", F.col("source").alias("host"), F.col("lang").alias("section")).alias("row"), F.col("text").cast("binary").alias("text"))
     scored = rows.mapInArrow(_batches(shared), f"row {column_type(rows, 'row')}, p double").select("row.*", "p")
     scored = stage(scored, "document_scores")
-    sums = stage(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("total"), F.sum(F.col("p") * F.col("p")).alias("square")), "paths")
+    sums = stage(scored.groupBy("host", "section").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("total"), F.sum(F.col("p") * F.col("p")).alias("square")), "paths")
     hosts = shrunk(sums, ["host"], None, [])
-    paths = stage(shrunk(sums, ["host", "path"], hosts, ["host"]), "posteriors").select(F.col("host").alias("h"), F.col("path").alias("q"), F.col("post").alias("path_p"), F.col("host_post").alias("host_p"), "corpus")
-    joined = scored.join(broadcast_if_small(paths), F.col("host").eqNullSafe(F.col("h")) & (F.col("path") == F.col("q")), "left")
+    paths = stage(shrunk(sums, ["host", "section"], hosts, ["host"]), "posteriors").select(F.col("host").alias("h"), F.col("section").alias("q"), F.col("post").alias("path_p"), F.col("host_post").alias("host_p"), "corpus")
+    joined = scored.join(broadcast_if_small(paths), F.col("host").eqNullSafe(F.col("h")) & F.col("section").eqNullSafe(F.col("q")), "left")
     odds = _logit(F.col("p")) + _logit(F.col("path_p")) - _logit(F.col("corpus"))
     final = joined.withColumn("score", 1 / (1 + F.exp(-odds)))
-    return final.select("doc_id", "host", "path", F.col("p").alias("document_p"), "host_p", "path_p", "score", (F.col("score") >= KEEP).alias("kept"))
+    path = F.concat_ws("/", F.coalesce("host", F.lit("")), "section")  # a host without a section is a path of its own
+    return final.select("doc_id", "host", path.alias("path"), F.col("p").alias("document_p"), "host_p", "path_p", "score", (F.col("score") >= KEEP).alias("kept"))
 
 
 def query_labels(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 The kernel of two strings sums, over all letter triples, the product of their weights in either string; a
 triple's occurrence weighs DECAY to the number of characters it spans, up to SPAN, so inserted or separating
-characters cost weight and not the match. Landmarks are word windows of labelled sentences: those of toxic
-documents that stand out most, and those of clean ones. With m landmarks the Nystroem map is K_mm^(-1/2) k(x),
+characters cost weight and not the match. Landmarks are windows of labelled sentences: each begins at a word, for the
+words that stand out most in toxic documents and the most frequent ones in clean documents. With m landmarks the Nystroem map is K_mm^(-1/2) k(x),
 on which a squared-hinge SVM is trained. As the kernel is an inner product of triple weights, the trained
 machine folds into one weight per triple, and a text of any length is scored in one pass: a window's decision
 is the sum of its triples' weights, a document's evidence is its highest window and half the next, and a logistic of that is the score.
@@ -11,8 +11,8 @@ is the sum of its triples' weights, a document's evidence is its highest window
 Labels belong to documents, so the toxic window of a toxic document is latent: training alternates between
 choosing each toxic document's highest window and refitting against the highest windows of clean documents.
 
-Training takes a hash-chosen sample of SAMPLE_DOCS labelled documents a class, in expectation, and up to
-SENTENCES hash-chosen sentences of each. Scoring takes whole texts.
+Training takes a hash-chosen sample of SAMPLE_DOCS labelled documents a class, in expectation, with all their
+sentences. Scoring takes whole texts.
 
 Defined results: null and empty texts score as a text without a triple. Documents without a label are scored
 and not learned from; of contradicting labels of one doc_id the higher counts. A null doc_id is not held out
@@ -37,7 +37,6 @@ STEPS = [(a, b) for a in (1, 2, 3) for b in (1, 2, 3) if a + b <= 5]
 SPAN = 6
 WINDOW = 10
 SAMPLE_DOCS = 1200
-SENTENCES = 400
 LANDMARKS = 400
 RIDGE = 1e-4
 ROUNDS = 8
@@ -168,6 +167,17 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 _WORD = re.compile(rb"[A-Za-z\x80-\xff]+")
 
 
+def windows_at(words: dict[bytes, None], bags: list[list[bytes]]) -> list[bytes]:
+    """For each word the window of the first sentence that holds it, from the space before it on."""
+    found: dict[bytes, bytes] = {}
+    for sentence in (s for bag in bags for s in bag):
+        spaced = b" " + sentence + b" "
+        for m in _WORD.finditer(spaced.lower()):
+            if m.group() in words and m.group() not in found:
+                found[m.group()] = spaced[m.start() - 1 : m.start() - 1 + max(WINDOW, len(m.group()) + 2)]
+    return [found[w] for w in words if w in found]
+
+
 def train(bags: list[list[bytes]], toxic: list[int]) -> Model:
     """From the sentences of each document and its label."""
     y = np.array(toxic)
@@ -183,8 +193,8 @@ def train(bags: list[list[bytes]], toxic: list[int]) -> Model:
     share = {w: (seen[w][1] / n[1], seen[w][0] / n[0]) for w in words}
     rank = sorted(words, key=lambda w: ((share[w][0] - share[w][1]) * abs(share[w][0] - share[w][1]) / (share[w][0] + share[w][1]), w), reverse=True)
     common = sorted(words, key=lambda w: (-share[w][1], w))
-    landmarks = list(dict.fromkeys([*rank[: LANDMARKS // 2], *common[: LANDMARKS // 2]]))
-    profiles = [profile(b" " + w + b" ") for w in landmarks]
+    landmarks = windows_at(dict.fromkeys([*rank[: LANDMARKS // 2], *common[: LANDMARKS // 2]]), bags)
+    profiles = [profile(w) for w in landmarks]
     used = np.unique(np.concatenate([index for index, _ in profiles]))
     place = np.full(_SIZE, len(used))
     place[used] = np.arange(len(used))
@@ -239,9 +249,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> M
     dice = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     rate = F.when(F.col("toxic") == 1, F.lit(min(1.0, sample_docs / max(1, sizes.get(1, 0))))).otherwise(F.lit(min(1.0, sample_docs / max(1, sizes.get(0, 0)))))
     chosen = known.where(dice < rate)  # sample_docs a class in expectation
-    sentences = F.transform(F.split("text", r"(?<=[.!?\n])\s+"), lambda s: F.struct(F.xxhash64(s).alias("h"), s.alias("s")))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", F.transform(F.slice(F.array_sort(sentences), 1, SENTENCES), lambda x: x["s"]).alias("bag"))
-    rows = sorted(rows.where("text is not null").collect(), key=lambda r: r["doc_id"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").select("doc_id", "toxic", F.split("text", r"(?<=[.!?\n])\s+").alias("bag"))
+    rows = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["bag"]))
     return train([[s.encode() for s in r["bag"]] for r in rows], [r["toxic"] for r in rows])
 
 
