@@ -33,6 +33,8 @@ MARK = "▁"
 BYTE_PENALTY = 10.0
 BATCH_CHARS = 2_000_000
 CACHE = 400_000
+#: Characters of a word beyond which it is encoded on its own, and of it that are looked up at a time.
+LONG, STRETCH = 64, 65_536
 
 
 class Pieces:
@@ -76,6 +78,10 @@ class Pieces:
         for i, w in enumerate(words):
             by_length.setdefault(len(w), []).append(i)
         for n, own in by_length.items():
+            if n > LONG:  # positions together instead of words
+                for i in own:
+                    out[i] = self._along(words[i])
+                continue
             step = max(1, BATCH_CHARS // max(1, n))
             for k in range(0, len(own), step):
                 for i, ids in zip(own[k : k + step], self._viterbi([words[j] for j in own[k : k + step]], n)):
@@ -114,6 +120,39 @@ class Pieces:
             out[i] = self._with_bytes(words[i], back[:, i].tolist(), piece[:, i].tolist())
         return out
 
+    def _edges(self, codes: np.ndarray, low: int, high: int) -> list[list[tuple[int, float, int]]]:
+        """For each end in low + 1 .. high the pieces that end there as (length, score, id), the shortest first."""
+        keys, second, scores, ids = self._keys
+        ends, found = np.arange(low + 1, high + 1), []
+        a, b = np.zeros(len(ends), np.uint64), np.zeros(len(ends), np.uint64)
+        for n in range(1, self.longest + 1):
+            ends, a, b = ends[ends >= n], a[ends >= n], b[ends >= n]
+            a, b = a * _A + codes[ends - n], b * _B + codes[ends - n]  # the hash grows to the left
+            maybe = np.flatnonzero(self._seen[a >> _SEEN_SHIFT])
+            at = np.minimum(np.searchsorted(keys, a[maybe]), len(keys) - 1)
+            real = (keys[at] == a[maybe]) & (second[at] == b[maybe])
+            found.append((ends[maybe[real]] - low - 1, np.full(real.sum(), n), scores[at[real]], ids[at[real]]))
+        out: list[list[tuple[int, float, int]]] = [[] for _ in range(high - low)]
+        for end, n, score, piece in zip(*(np.concatenate(x).tolist() for x in zip(*found))):
+            out[end].append((n, score, piece))
+        return out
+
+    def _along(self, word: str) -> bytes:
+        """The best path of one long word, by the rules of _viterbi."""
+        codes = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+        best, back, piece = [0.0], [0], [-1]
+        for low in range(0, len(word), STRETCH):
+            for end, edges in enumerate(self._edges(codes, low, min(low + STRETCH, len(word))), low + 1):
+                top, start, own = best[end - 1] + self.low, end - 1, -1  # bytes of the last character
+                for n, score, i in edges:
+                    total = best[end - n] + score
+                    if total > top or n == 1:
+                        top, start, own = total, end - n, i
+                best.append(top)
+                back.append(start)
+                piece.append(own)
+        return self._with_bytes(word, back, piece)
+
     def _with_bytes(self, word: str, back: list[int], piece: list[int]) -> bytes:
         path, end = [], len(word)
         while end:

@@ -324,12 +324,77 @@ def test_media_round_trip(texts):
     assert [f.tobytes() for f in media.decode_documents(files)] == [media.pad(t) for t in texts]
 
 
+def lossless(frame: np.ndarray, counts: tuple, symbols: tuple, extra: bytes = b"") -> bytes:
+    """A lossless JPEG by the standard's rules, bit by bit, with a table and headers of its own."""
+    codes, code, at = {}, 0, 0
+    for bits, n in enumerate(counts, 1):
+        for s in symbols[at : at + n]:
+            codes[s] = f"{code:0{bits}b}"
+            code += 1
+        at, code = at + n, code << 1
+    h, w = frame.shape
+    word = ""
+    for y, x in itertools.product(range(h), range(w)):
+        left = int(frame[y, x - 1]) if x else int(frame[y - 1, 0]) if y else 128
+        d = int(frame[y, x]) - left
+        size = abs(d).bit_length()
+        word += codes[size] + (f"{d if d > 0 else d + (1 << size) - 1:0{size}b}" if size else "")
+    word += "1" * (-len(word) % 8)
+    data = bytes(int(word[i : i + 8], 2) for i in range(0, len(word), 8)).replace(b"\xff", b"\xff\0")
+    table = b"\xff\xc4" + (19 + len(symbols)).to_bytes(2, "big") + bytes([1, *counts, *symbols])
+    size = b"\xff\xc3\0\x0b\x08" + h.to_bytes(2, "big") + w.to_bytes(2, "big") + b"\1\1\x11\0"
+    return b"\xff\xd8" + extra + size + table + b"\xff\xda\0\x08\1\1\x10\1\0\0" + data + b"\xff\xd9"
+
+
+def test_other_writers_files_are_read():
+    """Frames of another size, table and header order; an index by absolute places, or none and rec lists; sound between the frames."""
+    rng = np.random.default_rng(9)
+    counts, symbols = (0, 2, 2, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0, 0), (3, 2, 4, 1, 0, 5, 6, 7, 8)
+    frames = [rng.integers(0, 256, (5, 7), dtype=np.uint8), np.zeros((5, 7), np.uint8), np.full((5, 7), 255, np.uint8)]
+    jpegs = [lossless(f, counts, symbols, b"\xff\xfe\0\x06note") for f in frames]
+    own = media._chunk
+    walked = own(b"LIST", b"movi" + own(b"01wb", b"sound") + own(b"LIST", b"rec " + own(b"00dc", jpegs[0]) + own(b"01wb", b"x")) + own(b"00dc", jpegs[1]) + own(b"00db", jpegs[2]))
+    head = b"RIFF" + bytes(4) + b"AVI " + own(b"JUNK", b"odd")
+    places = [(head + walked).find(j) - 8 for j in jpegs]
+    index = own(b"idx1", b"".join(n + (16).to_bytes(4, "little") + a.to_bytes(4, "little") + len(j).to_bytes(4, "little") for n, a, j in zip((b"00dc", b"00dc", b"00db"), places, jpegs)))
+    for file in (head + walked, head + walked + index):
+        assert media.read_avi(file) == jpegs
+        assert np.array_equal(media.decode_documents([file])[0], np.stack([f.ravel() for f in frames]))
+    both = media.decode_documents([head + walked, media.encode_documents([b"abc"])[0]])
+    assert both[1].tobytes() == media.pad(b"abc") and both[0].shape == (3, 35)
+    for broken in (b"RIFF", head, head + walked.replace(b"\xff\xc3", b"\xff\xc0"), head + own(b"LIST", b"movi" + own(b"00dc", jpegs[0][:-9] + jpegs[0][-2:]))):
+        with pytest.raises(ValueError):
+            media.decode_documents([broken])
+
+
+def brute_cuts(frames: np.ndarray) -> list[int]:
+    bars = [np.histogram(f, bins=16, range=(0, 256))[0] for f in frames]
+    jump = [float(abs(a - b).sum()) for a, b in zip(bars[1:], bars)]
+    out = [0]
+    for i, j in enumerate(jump):
+        near = jump[max(0, i - media.WINDOW) : i + media.WINDOW + 1]
+        out += [i + 1] if j > np.mean(near) + media.CUT_SIGMAS * np.std(near) + 1e-9 else []
+    return out
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 255), st.integers(1, 20)), min_size=1, max_size=6), st.integers(0, 2**32))
+def test_cuts_match_brute_force(shots, seed):
+    rng = np.random.default_rng(seed)
+    frames = np.concatenate([np.clip(rng.integers(-3, 4, (n, media.FRAME)) + level, 0, 255).astype(np.uint8) for level, n in shots])
+    got, want = media.cuts(frames).tolist(), brute_cuts(frames) if len(frames) > 2 else [0]
+    assert got == want
+    assert [c[1:3] for c in media.clips_of(frames)] == list(zip(got, [*got[1:], len(frames)]))
+
+
 def test_media_query_and_clips(spark, odd):
     rows = media.query(spark, odd).collect()
     texts = {r.doc_id: (r.text or "").encode() for r in odd.collect()}
     for r in rows:
         data = media.pad(texts[r.doc_id])
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(texts[r.doc_id]), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]))
+        frames = np.frombuffer(data, np.uint8).reshape(-1, media.FRAME)
+        assert [tuple(c) for c in r.clips] == media.clips_of(frames) and f"clips={len(r.clips)};" in r.feature
     clips = media.clips(media.encode_media(odd)).collect()
     assert len({r.doc_id for r in clips}) == len(texts) and all(r.end_frame > r.first_frame for r in clips)
     frames = np.concatenate([np.full((20, media.FRAME), 10, np.uint8), np.full((20, media.FRAME), 200, np.uint8)])
@@ -487,6 +552,33 @@ def test_pieces_are_optimal_and_come_back(spark, docs):
     assert all(r.round_trip for r in pieces.query(spark, docs).collect())
 
 
+def test_long_words_are_encoded_like_short_ones(monkeypatch):
+    import time
+
+    p = pieces.pieces_of(pieces.default_model())
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("theandofing é€x"), n)).replace(" ", "_") for n in (1, 2, 17, 60, 64, 200)] + ["a" * 50, "😀" * 9, "▁the"]
+    want = p.encode_words(words)
+    monkeypatch.setattr(pieces, "LONG", 0)
+    for stretch in (1, 7, 65_536):
+        monkeypatch.setattr(pieces, "STRETCH", stretch)
+        assert p.encode_words(words) == want
+    began = time.time()
+    text = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789+/"), 200_000))
+    assert p.decode(p.encode([text])[0]) == text and time.time() - began < 20
+
+
+def test_pieces_against_the_library(spark, docs):
+    """Best paths of a merge-ordered table are not its own library's pieces; the share of equal words is what the README says."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    p = pieces.pieces_of(pieces.default_model())
+    words = sorted({w for r in docs.collect() for w in pieces.split(r.text)})[:5000]
+    same = np.mean([np.frombuffer(ids, "<u4").tolist() == sp.encode(w[1:]) for w, ids in zip(words, p.encode_words(words))])
+    assert 0.2 < same < 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=30))
 def test_pieces_round_trip(t):
