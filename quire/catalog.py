@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.plans import answer_queries, fixture_queries, stream_queries, table_queries, text_queries  # noqa: F401  they register themselves
+from quire.plans import answer_queries, fixture_queries, loop_queries, stream_queries, table_queries, text_queries  # noqa: F401  they register themselves
 from quire.plans.registry import QUERIES, SQL
 
 

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from quire.plans.registry import query, table
+from quire.plans import table_queries  # noqa: F401  registers the batch twin, whose SQL is taken
+from quire.plans.loop_queries import ingested
+from quire.plans.registry import SQL, query, table
+from quire.staging import shared_dir
 from quire.streaming import streams
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream"
 
 
 def _drain(spark, stream, schema, out: str):
@@ -21,15 +21,17 @@ def _drain(spark, stream, schema, out: str):
     return spark.read.schema(schema).parquet(f"{out}/rows")
 
 
-@query("stream_ingest", "SELECT doc_id, n_chars, 'ready' AS status FROM documents")
+@query("stream_ingest", "SELECT conv_id AS book, CASE WHEN sum(length(trim(text))) > 0 THEN 'ready' ELSE 'failed' END AS status, count(*) AS page_count FROM conversations GROUP BY conv_id")
 def stream_ingest(spark, d):
-    source, out = f"{d}/documents.parquet", _folder(spark)
-    done = lambda rows, _: rows.select("doc_id", "n_chars", F.lit("ready").alias("status")).write.mode("append").parquet(f"{out}/rows")
-    streams.ingest(spark, source, table(spark, d, "documents").schema, done, f"{out}/log").awaitTermination()
+    """Each micro-batch of new pages runs the whole ingestion chain for its books and appends their status."""
+    out = _folder(spark)
+    pages = lambda rows: rows.select(F.col("conv_id").alias("book"), (F.col("turn") + 1).alias("page"), "role", "text")
+    done = lambda rows, _: ingested(pages(rows)).select("book", "status", "page_count").write.mode("append").parquet(f"{out}/rows")
+    streams.ingest(spark, f"{d}/conversations.parquet", table(spark, d, "conversations").schema, done, f"{out}/log").awaitTermination()
     return spark.read.parquet(f"{out}/rows")
 
 
-@query("stream_rate_limit")
+@query("stream_rate_limit", "SELECT id, admitted FROM (" + SQL["rate_limit_admission"] + ")")
 def stream_rate_limit(spark, d):
     schema = table(spark, d, "events").schema
     events = streams.files(spark, f"{d}/events.parquet", schema)
