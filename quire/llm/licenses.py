@@ -1,12 +1,14 @@
 """License scan over a positional rare-token index, with DataFrame functions alone.
 
 The index is a table of postings (word, template, offset) for the RARE words of each template that the fewest
-documents hold, by their IDF over all documents. A file's words are looked up in it; each posting says where the
-template would start (the word's position minus its offset), and the postings are intersected by that start: what
-counts is the greatest IDF of different words that agree on one. A template whose words agree for at least AGREED of
-the IDF that the file has of it, LEAST words or all of them, gives its label if its mandatory key phrase also stands
-in the file: that is verified at the phrase's rarest word, whose neighbours travel with it. The base phrases are found
-by the intersection of all their words' positions, so every place counts.
+documents hold, by their IDF over all documents; of words in more than COMMON of the documents it has only a
+template's LEAST rarest. A file's words are looked up in it; each posting says where the template would start (the
+word's position minus its offset), and the postings are intersected by that start: what counts is the greatest IDF
+of different words that agree on one. A template whose words agree for at least AGREED of the IDF that the file has
+of it, LEAST words or all of them, gives its label if its mandatory key phrase also stands in the file: that is
+verified at the phrase's rarest word, whose neighbours travel with it. A file in which no key phrase stands keeps
+only its base words, as no template could give a label. The base phrases are found by the intersection of all their
+words' positions, so every place counts.
 
 Templates are rows, so more of them cost more postings and no more plan. Rows are told apart by a number written
 beside them.
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import broadcast_if_small, stage
 
-RARE, LEAST, AGREED = 24, 3, 0.5
+RARE, LEAST, AGREED, COMMON = 24, 3, 0.5, 0.05
 
 # The phrases of the contract, with their labels.
 BASE = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
@@ -103,13 +105,14 @@ def postings(templates: tuple, n: int, df: dict[str, int], rare: int = RARE) ->
     for k, (_, key, text) in enumerate(templates):
         words = split(text)
         anchor = max(split(key), key=lambda w: (idf(w), w))
-        chosen = {anchor, *sorted(set(words), key=lambda w: (-idf(w), w))[:rare]}
+        rarest = sorted(set(words), key=lambda w: (-idf(w), w))[:rare]
+        chosen = {anchor, *rarest[:LEAST], *(w for w in rarest if df.get(w, 0) <= COMMON * n)}
         rows += [(w, k, at, idf(w), w == anchor) for at, w in enumerate(words) if w in chosen]
     return rows
 
 
-def hits(docs: DataFrame, words: list[str], anchors: list[str]) -> DataFrame:
-    """(row, doc_id, n_words, hits): the looked-up words of each text as (w, i), with their neighbours where they anchor a key phrase."""
+def hits(docs: DataFrame, words: list[str], anchors: list[str], phrases: list[str]) -> DataFrame:
+    """(row, doc_id, n_words, hits): the looked-up words of each text as (w, i), with their neighbours where they anchor a key phrase; without a key phrase only those of the base phrases."""
     split_ = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", _words().alias("words"))
 
     def hit(w: Column, i: Column) -> Column:
@@ -117,7 +120,12 @@ def hits(docs: DataFrame, words: list[str], anchors: list[str]) -> DataFrame:
         beside = F.when(w.isin(anchors), F.array_join(F.slice("words", low + 1, 2 * BESIDE + 1), " "))
         return F.when(w.isin(words), F.struct(w.alias("w"), i.cast("long").alias("i"), beside.alias("beside")))
 
-    return split_.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), F.filter(F.transform("words", hit), lambda x: x.isNotNull()).alias("hits"))
+    def stands(h: Column) -> Column:
+        return h["beside"].isNotNull() & F.exists(F.lit([f" {p} " for p in phrases]), lambda p: F.contains(F.concat(F.lit(" "), h["beside"], F.lit(" ")), p))
+
+    found = split_.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), F.filter(F.transform("words", hit), lambda x: x.isNotNull()).alias("hits"))
+    base = sorted({w for p in BASE.values() for w in p.split()})
+    return found.withColumn("hits", F.when(F.exists("hits", stands), F.col("hits")).otherwise(F.filter("hits", lambda h: h["w"].isin(base))))
 
 
 def _starts(word: str, offset: int) -> Column:
@@ -139,14 +147,15 @@ def matched(found: DataFrame, templates: tuple, index: list[tuple]) -> DataFrame
     table = broadcast_if_small(spark.createDataFrame(index, "w string, template int, offset int, idf double, anchor boolean"))
     keys = [(k, label, " ".join(split(key)), len({w for w, t, *_ in index if t == k})) for k, (label, key, _) in enumerate(templates)]
     named = broadcast_if_small(spark.createDataFrame(keys, "template int, label string, phrase string, words int"))
-    looked = found.select("row", F.explode("hits").alias("h")).select("row", "h.w", "h.i", "h.beside").join(table, "w").join(named, "template")
+    asked = found.where(F.exists("hits", lambda h: h["beside"].isNotNull()))
+    looked = asked.select("row", F.explode("hits").alias("h")).select("row", "h.w", "h.i", "h.beside").join(table, "w").join(named, "template")
     stands = F.col("anchor") & F.contains(F.concat(F.lit(" "), "beside", F.lit(" ")), F.concat(F.lit(" "), "phrase", F.lit(" ")))
-    votes = looked.select("row", "template", "label", "words", "w", "idf", (F.col("i") - F.col("offset")).alias("start"), F.coalesce(stands, F.lit(False)).alias("key"))
-    voted = votes.groupBy("row", "template", "label", "words", "start", "w").agg(F.max("idf").alias("idf"), F.max("key").alias("key"))
-    by_start = voted.groupBy("row", "template", "label", "words", "start").agg(F.sum("idf").alias("idf"), F.count(F.lit(1)).alias("agree"), F.max("key").alias("key"))
-    best = by_start.groupBy("row", "template", "label", "words").agg(F.max(F.struct("idf", "agree")).alias("best"), F.max("key").alias("key"))
+    votes = looked.select("row", "template", "w", "idf", (F.col("i") - F.col("offset")).alias("start"), F.coalesce(stands, F.lit(False)).alias("key"))
+    voted = votes.groupBy("row", "template", "start", "w").agg(F.max("idf").alias("idf"), F.max("key").alias("key"))
+    by_start = voted.groupBy("row", "template", "start").agg(F.sum("idf").alias("idf"), F.count(F.lit(1)).alias("agree"), F.max("key").alias("key"))
+    best = by_start.groupBy("row", "template").agg(F.max(F.struct("idf", "agree")).alias("best"), F.max("key").alias("key"))
     seen = voted.groupBy("row", "template", "w").agg(F.max("idf").alias("idf")).groupBy("row", "template").agg(F.sum("idf").alias("seen"))
-    held = best.where("key").join(seen, ["row", "template"]).withColumn("score", F.least(F.col("best.idf") / F.col("seen"), F.lit(1.0)))
+    held = best.where("key").join(seen, ["row", "template"]).join(named, "template").withColumn("score", F.least(F.col("best.idf") / F.col("seen"), F.lit(1.0)))
     return held.where((F.col("score") >= AGREED) & (F.col("best.agree") >= F.least(F.lit(LEAST), "words"))).select("row", "label", "score")
 
 
@@ -155,7 +164,7 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES) -> DataFrame:
     base_words = {w for p in BASE.values() for w in p.split()}
     every = sorted({w for _, key, text in templates for w in (*split(text), *split(key))})
     index = postings(templates, *document_frequencies(docs, every))
-    found = stage(hits(docs, sorted(base_words | {w for w, *_ in index}), sorted({w for w, *_, anchor in index if anchor})), "hits")
+    found = stage(hits(docs, sorted(base_words | {w for w, *_ in index}), sorted({w for w, *_, anchor in index if anchor}), [" ".join(split(key)) for _, key, _ in templates]), "hits")
     label = matched(found, templates, index).groupBy("row").agg(F.array_sort(F.collect_set("label")).alias("more"), F.max("score").alias("best"))
     base = {x: places(phrase).alias(f"p_{x}") for x, phrase in BASE.items()}
     looked = found.select("row", "doc_id", "n_words", *base.values()).join(broadcast_if_small(stage(label, "labels")), "row", "left")
