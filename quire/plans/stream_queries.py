@@ -35,6 +35,5 @@ def stream_ingest(spark, d):
 def stream_rate_limit(spark, d):
     schema = table(spark, d, "events").schema
     events = streams.files(spark, f"{d}/events.parquet", schema)
-    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    rows = streams.rate_limit(events.select(F.col("user_id").alias("user"), F.col("event_type").alias("action"), at.alias("at"), F.col("event_id").alias("id")), 2, 604800)
+    rows = streams.rate_limit(events.select(F.col("user_id").alias("user"), F.col("event_type").alias("action"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id")), 2, 604800)
     return _drain(spark, rows, "id long, admitted boolean", _folder(spark))

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quire.operators.grouped import admit
@@ -27,8 +28,16 @@ def ingest(spark: SparkSession, folder: str, schema, batch: Callable[[DataFrame,
 
 
 def rate_limit(events: DataFrame, limit: int, span: int = 3600) -> DataFrame:
-    """events(user, action, at, id) to (id, admitted): the state is the admitted times within the span."""
+    """events(user, action, ts timestamp, id) to (id, admitted): the state is the admitted times within the span.
+
+    A user's state goes when the watermark, a span behind the latest event, has passed the last admitted time by a
+    span. Events of a micro-batch are taken in order; one that comes after later ones is judged by what is admitted
+    by then.
+    """
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = list(state.get[0]) if state.exists else []
         for pdf in frames:
             pdf = pdf.sort_values(["at", "id"])
@@ -40,8 +49,10 @@ def rate_limit(events: DataFrame, limit: int, span: int = 3600) -> DataFrame:
                 held += [at] if ok else []
             yield pd.DataFrame({"id": pdf["id"], "admitted": out})
         state.update((held,))
+        state.setTimeoutTimestamp(max(int((max(held, default=0) + span) * 1000), state.getCurrentWatermarkMs() + 1))
 
-    return events.groupBy("user", "action").applyInPandasWithState(run, "id long, admitted boolean", "held array<double>", "append", GroupStateTimeout.NoTimeout)
+    timed = events.withWatermark("ts", f"{span} seconds").withColumn("at", F.unix_micros("ts") / 1e6)
+    return timed.groupBy("user", "action").applyInPandasWithState(run, "id long, admitted boolean", "held array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 __all__ = ["admit", "ingest", "rate_limit"]

@@ -246,3 +246,20 @@ def test_ingestion_marks_and_clears_what_fails(spark):
     assert {c.book for c in chunks} == {"a"} and [c.chunk_id for c in chunks] == [f"a:{i}" for i in range(len(chunks))]
     assert {(c.chapter, c.chapter_title) for c in chunks} == {(0, "Chapter 1 Lamps"), (1, "Chapter 2 Masks")} and all(abs(sum(x * x for x in c.vector) - 1) < 1e-9 for c in chunks)
     assert {r.book: r.chunks for r in books.chunking.collect()} == {"a": len(chunks), "b": 0, "c": 0, "e": 0} and {r.book for r in books.pages.collect()} == {"a"}
+
+
+def test_streamed_admission_forgets_and_keeps_across_batches(spark, tmp_path):
+    from quire.streaming import streams
+
+    schema = "user int, action string, ts timestamp, id long"
+    at = lambda s: f"2026-01-01 {s // 3600:02d}:{s // 60 % 60:02d}:{s % 60:02d}"
+    batches = [[(1, 0), (1, 10), (1, 20), (2, 5)], [(1, 3600), (1, 3605), (3, 20_000)], [(3, 40_000)], [(1, 40_001), (1, 40_002), (1, 40_003)]]
+    n, got = 0, {}
+    for k, batch in enumerate(batches):
+        rows = [(u, "ask", at(s), n + i) for i, (u, s) in enumerate(batch)]
+        n += len(rows)
+        spark.createDataFrame(rows, "user int, action string, ts string, id long").selectExpr("user", "action", "cast(ts as timestamp) as ts", "id").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        limited = streams.rate_limit(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 2, 3600)
+        limited.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+    got = {r.id: r.admitted for r in spark.read.schema("id long, admitted boolean").parquet(str(tmp_path / "out")).collect()}
+    assert got == {0: True, 1: True, 2: False, 3: True, 4: True, 5: False, 6: True, 7: True, 8: True, 9: True, 10: False}
