@@ -38,7 +38,7 @@ SHINGLE = 3
 #: Fingerprints at home in a shard, about; more where the sample allows no more shards.
 SHARD_WORDS = 4096
 #: Fingerprints in the routing tree's sample, in expectation and at most a quarter of all; a leaf keeps LEAST of them.
-SAMPLE_WORDS, LEAST = 16_384, 16
+SAMPLE_WORDS, LEAST = 262_144, 16
 LEAF = 64
 #: Guests of a shard that are looked up at a time.
 GUESTS = 32_768
