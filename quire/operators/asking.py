@@ -11,6 +11,8 @@ Null questions count as empty; a question whose book has no chunks falls back; r
 from __future__ import annotations
 
 import json
+import random
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -86,6 +88,46 @@ def with_fallback(first: Model, second: Model) -> Model:
     return call
 
 
+class ModelError(RuntimeError):
+    """A provider's failure: its HTTP status if there is one, the wait in seconds it asks for, and whether a daily quota is used up."""
+
+    def __init__(self, message: str = "", status: int | None = None, hint: float | None = None, daily: bool = False):
+        super().__init__(message)
+        self.status, self.hint, self.daily = status, hint, daily
+
+
+# Statuses after which a call is worth another try.
+TRANSIENT = (408, 429, 500, 502, 503, 504)
+
+
+def wait_before(error: ModelError, attempt: int) -> float | None:
+    """Seconds before the next try, without jitter, by the rule of functions.answers.retry_delay; None to stop."""
+    if error.daily or error.status is not None and error.status not in TRANSIENT:
+        return None
+    least = 2.0 * 2**attempt
+    wait = max(error.hint if error.hint is not None else 10.0 if error.status == 429 else 0.0, least)
+    return wait if wait <= 60 else None
+
+
+def retrying(model: Model, tries: int = 4, sleep: Callable[[float], None] = time.sleep, jitter: Callable[[], float] = random.random) -> Model:
+    """The model, asked again after transient failures and empty replies."""
+    def call(kind: str, payload: dict) -> str:
+        for attempt in range(tries):
+            try:
+                if reply := model(kind, payload):
+                    return reply
+                error = ModelError("empty reply")
+            except ModelError as failed:
+                error = failed
+            wait = wait_before(error, attempt)
+            if wait is None or attempt + 1 == tries:
+                raise error
+            sleep(wait + jitter())
+        raise ModelError("no tries")
+
+    return call
+
+
 # What each kind of call asks for; {payload} stands for its data as JSON.
 PROMPTS = {
     "translate": "Put this question about a Gujarati book into Gujarati, names included, adding nothing to it. Reply with the question alone.\n{payload}",

@@ -79,6 +79,33 @@ def test_an_english_question_is_searched_in_gujarati(answers):
     assert list(answers["When translated?"].tried) == ["દીવા ક્યારે?"] and answers["When translated?"].found
 
 
+def test_a_report_counts_refusals_and_page_hits(spark, answers):
+    from quire.operators.evaluation import per_case, report
+
+    rows = [(q, bool(r.found), [(c.page_start, c.page_end) for c in r.citations], r.answer, r.rewrites) for q, r in answers.items()]
+    told = spark.createDataFrame(rows, "question string, found boolean, citations array<struct<page_start int, page_end int>>, answer string, rewrites int")
+    cases = spark.createDataFrame([(q, q, q.startswith("When"), [1] if q == "When good?" else [9] if q == "When translated?" else None) for q in answers], "question string, text string, answerable boolean, expected array<int>")
+    made = report(per_case(cases, told)).collect()
+    assert len(made) == 1 and made[0].case_count == 16 and (made[0].unanswerable, made[0].correct_refusals, made[0].refusal_recall) == (3, 3, 1.0)
+    assert (made[0].answerable, made[0].false_refusals, made[0].false_refusal_rate) == (13, 8, 0.615) and (made[0].cases, made[0].page_hit_rate) == (2, 0.5)
+    none = report(per_case(cases.limit(0), told)).collect()[0]
+    assert (none.case_count, none.refusal_recall, none.page_hit_rate) == (0, None, None)
+
+
+@pytest.mark.parametrize("status, hint, daily, waits", [(429, 8.0, False, [8, 8, 8]), (429, 12.5, False, [12.5, 12.5, 12.5]), (503, None, False, [2, 4, 8]), (429, None, False, [10, 10, 10]), (None, None, False, [2, 4, 8]), (404, None, False, []), (400, None, False, []), (429, None, True, []), (429, 120.0, False, [])])
+def test_transient_failures_are_tried_again(status, hint, daily, waits):
+    slept = []
+
+    def out(kind, payload):
+        raise asking.ModelError("x", status, hint, daily)
+
+    with pytest.raises(asking.ModelError):
+        asking.retrying(out, sleep=slept.append, jitter=lambda: 0.0)("grade", {})
+    assert slept == waits
+    replies = iter(["", "", "yes"])
+    assert asking.retrying(lambda kind, payload: next(replies), sleep=slept.append)("grade", {}) == "yes"
+
+
 def test_the_second_model_serves_where_the_first_is_out():
     def out(kind, payload):
         raise RuntimeError
