@@ -55,7 +55,7 @@ def snap_citations(spark, d):
     return claims.snap_citations(said(spark), shown(spark), page_rows(spark)).select("answer", "text", "old", "new")
 
 
-WORDS = [("કે", "x", True), ("12", "x", True), ("નાટકમાં", "નાટકનો ભાગ", True), ("સ્ટેજ", "સટેજ ખાલી", True), ("નટો", "નટોનો વેશ", True), ("હાથી", "નાટક", False), ("ઘોડો", "ઘોડાગાડી", True), ("ગાડી", "ઘોડાગા", False)]
+WORDS = [("કે", "x", True), ("12", "x", True), ("નાટકમાં", "નાટકનો ભાગ", True), ("સ્ટેશન", "સટેશન ખાલી", True), ("તારો", "તારોનો વેશ", True), ("હાથી", "નાટક", False), ("ઘોડો", "ઘોડાગાડી", True), ("ગાડી", "ઘોડાગા", False)]
 
 
 @query("word_supported", "SELECT word, source, supported FROM " + values(WORDS, "word, source, supported"))
@@ -85,7 +85,7 @@ def span_pages(spark, d):
 
 
 PRINTED = [
-    (1, 1, "ગગન ગાજે રે\n- નરસિંહ મહેતા\nધરતી ઝૂમે રે\n- મીરાં બાઈ"), (1, 2, "અનુક્રમ\nપહેલું ગીત 1\nબીજું ગીત 3\nચોથી વારતા 5"), (1, 3, "પહેલું ગીત\n- કરસનદાસ માણેક\nકરસનદાસ નો જન્મ થયો"), (1, 4, "1. કોણ આવ્યું\n2. શું થયું"),
+    (1, 1, "ગગન ગાજે રે\n- નરસિંહ મહેતા\nધરતી ઝૂમે રે\n- મીરાં બાઈ"), (1, 2, "અનુક્રમ\nપહેલું ગીત 1\nબીજું ગીત 3\nચોથી વારતા 5"), (1, 3, "પહેલું ગીત\n- હરિલાલ પટેલ\nહરિલાલ નો જન્મ થયો"), (1, 4, "1. કોણ આવ્યું\n2. શું થયું"),
     (1, 5, "બીજું ગીત\n- ઉમાશંકર જોશી\nકવિ પરિચય"), (1, 6, "- કેમ છો?\nમજામાં"), (1, 7, "- સુરેશ દલાલ\nસુરેશ મોટા કવિ"), (1, 8, "છેલ્લો પાઠ\n- રમણ સોની\nરમણ લેખક"),
     (2, 1, "Chapter 1 The Stage\nopening words"), (2, 2, "plain"), (2, 3, "Chapter 2 The Mask\nmore words"), (2, 4, "as told in the book"), (2, 5, "2\nA Stray List"), (2, 6, "3\nThe Lamps\nlast words"), (2, 7, "one more"), (2, 8, "and on"), (2, 9, "end"),
     (3, 1, "વારતા લાંબી\n- ધૂમકેતુ પોતે\nધૂમકેતુ લેખક"), (3, 2, "plain"), (4, 1, "no heading"),

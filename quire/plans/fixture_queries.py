@@ -8,7 +8,7 @@ from quire.functions import answers, headings, text
 from quire.operators import asking, chapters, claims, grounding
 from quire.plans.registry import query, values
 
-WORDS = [("નાટક ભજવાયું", "નાટક"), ("The plain stage", "stage"), ("નટોની વાત page 12", "નટો"), ("a હિ", "b"), ("પ્રકરણ 3 નાટકના પ્રકારો", "x"), ("", "y")]
+WORDS = [("નાટક ભજવાયું", "નાટક"), ("The plain stage", "stage"), ("નટોની વાત page 12", "નટો"), ("k દી", "b"), ("પ્રકરણ 3 નાટકના પ્રકારો", "x"), ("", "y")]
 W = values(WORDS, "line, other")
 GU, LATIN = r"length(regexp_replace(line, '[^\x{0A80}-\x{0AFF}]+', '', 'g'))", "length(regexp_replace(line, '[^A-Za-z]+', '', 'g'))"
 
@@ -51,7 +51,7 @@ def plausible_title(spark, d):
     return rows(spark, [(a,) for a, _ in WORDS] + [("9. નટ",), ("One. Two",), ("Good title",)], "line").select("line", headings.plausible_title(F.col("line")).alias("plausible"))
 
 
-HEADS = [("Chapter 3 The stage",), ("પ્રકરણ ૩ વળતર",), ("૩. વિદાય",), ("4.6 શીર્ષક",), ("plain words here",), ("12 ",)]
+HEADS = [("Chapter 3 The stage",), ("પ્રકરણ ૬ ઘરભણી",), ("૭. સાંજ",), ("5.2 તારા",), ("plain words here",), ("12 ",)]
 
 
 @query("parse_heading", r"SELECT line, line AS title, CASE WHEN regexp_matches(line, '(?i)^(chapter|પ્રકરણ)') THEN 1 WHEN regexp_matches(line, '^[0-9૦-૯]+\.[0-9૦-૯]+ ') THEN 2 WHEN regexp_matches(line, '^[0-9૦-૯]+\. ') THEN 1 END AS level, translate(regexp_extract(line, '[0-9૦-૯]+'), '૦૧૨૩૪૫૬૭૮૯', '0123456789')::INT AS number FROM " + values(HEADS[:4], "line"))
