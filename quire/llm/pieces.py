@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import column_type
+from quire.llm.common import broadcast_if_small, column_type
 
 MARK = "▁"
 #: A byte of a character without a piece scores as a last piece would, and so much less.
@@ -257,7 +257,7 @@ def lattice(words: DataFrame, table: DataFrame, longest: int, low: float) -> Dat
     """words(word) to (word, pieces): the relational form. table(piece, score) is the piece table, of bounded size."""
     place = F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start")
     cut = words.select("word", place).select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("start") + 1))).alias("n"))
-    edges = cut.withColumn("piece", F.substr("word", F.col("start"), F.col("n"))).join(F.broadcast(table), "piece", "left").where("score is not null or n = 1")
+    edges = cut.withColumn("piece", F.substr("word", F.col("start"), F.col("n"))).join(broadcast_if_small(table), "piece", "left").where("score is not null or n = 1")
     ends = edges.groupBy("word").agg(F.array_sort(F.collect_list(F.struct((F.col("start") + F.col("n") - 1).alias("end"), "start", F.coalesce("score", F.lit(low)).alias("score"), "piece"))).alias("edges"))
     state = "array<struct<score:double, path:array<string>>>"
 
