@@ -31,6 +31,11 @@ def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t and unicodedata.normalize("NFC", t))
 
 
+@F.pandas_udf(StringType())
+def _without_joiners(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: t and unicodedata.normalize("NFC", t.replace("\u200c", "").replace("\u200d", "")))
+
+
 #: Characters that compose with nothing and stand as they are: Latin without combining marks, punctuation, joiners, and the Gujarati block without its nukta.
 _SETTLED = "\\x00-\u02ff\u0964\u0965\u0a81-\u0abb\u0abd-\u0aff\u200b-\u200f\u2010-\u203a"
 
@@ -40,6 +45,12 @@ def nfc(c: Column) -> Column:
     return F.coalesce(_composed(F.when(c.rlike(f"[^{_SETTLED}]"), c)), c)
 
 
+def bare(c: Column) -> Column:
+    """Without joiners and composed; empty for null. One look at a text decides whether it goes to Python, and most do not."""
+    c = F.coalesce(c, F.lit(""))
+    return F.coalesce(_without_joiners(F.when(c.rlike(f"[^{_SETTLED}]|[\u200c\u200d]"), c)), c)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with the value written into the plan once, however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -110,7 +121,7 @@ def words_of(c: Column, stopwords: list[str] | None = None) -> Column:
 
 def tokens(c: Column, stopwords: list[str] | None = None) -> Column:
     """Lower-case words of letters, digits and marks; joiners never split a word."""
-    return words_of(nfc(F.regexp_replace(F.coalesce(c, F.lit("")), "[\u200c\u200d]", "")), stopwords)
+    return words_of(bare(c), stopwords)
 
 
 def token_estimate(own: Column, other: Column) -> Column:
@@ -132,8 +143,7 @@ def sentences(c: Column) -> Column:
 
 
 def normalize(c: Column) -> Column:
-    c = nfc(F.regexp_replace(F.coalesce(c, F.lit("")), "[\u200c\u200d]", ""))
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(bare(c), r"(?U)\s+", " "))
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -174,12 +184,20 @@ def keywords(c: Column) -> Column:
 
 def join_overlapping(a: Column, b: Column) -> Column:
     """a and b without the text that ends a and begins b (8 characters at least), else joined by a space."""
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1))), lambda p: (F.length(a) - p + 1 >= 8) & (F.length(b) >= 8) & F.startswith(b, F.substr(a, p)))
-    return F.when(F.size(at) > 0, F.concat(F.substr(a, F.lit(1), F.element_at(at, 1) - 1), b)).otherwise(F.concat_ws(" ", a, b))
+    head = F.substring(b, 1, 8)
+    whole = F.concat_ws(" ", a, b)
+    cut = lambda p: F.concat(F.substr(a, F.lit(1), p - 1), b)
+
+    def joined(first: Column) -> Column:
+        """first: where b's opening occurs first in a; most texts hold it nowhere or there."""
+        at = F.filter(F.sequence(first, F.greatest(F.length(a), first)), lambda p: (F.length(a) - p + 1 >= 8) & F.startswith(b, F.substr(a, p)))
+        return F.when(first == 0, whole).when(F.startswith(b, F.substr(a, first)), cut(first)).when(F.size(at) > 0, cut(F.element_at(at, 1))).otherwise(whole)
+
+    return let(F.when(F.length(head) == 8, F.instr(a, head)).otherwise(0), joined)
 
 
 def search_key(c: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(nfc(F.regexp_replace(F.coalesce(c, F.lit("")), "[\u200c\u200d]", "")), r"\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(bare(c), r"\s+", " ")))
 
 
 def holds_all_words(haystack: Column, words: str) -> Column:
